@@ -34,8 +34,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class Encoder:
     """Token ids (little-endian uint32 bytes) of a text under a byte-level BPE file of the tokenizers library.
 
-    A single space always opens a new pre-token, so a text is the join of its space-separated chunks,
-    and chunks are looked up in a cache.  Texts in which spaces touch each other or an end are encoded whole.
+    A space before anything but white space always opens a pre-token, so such a text is the join of its
+    space-separated chunks, and chunks are looked up in a cache.  Texts with a space before white space or at
+    the end are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -53,8 +54,6 @@ class Encoder:
             return b""
         if SPECIAL in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return self.plain(text)
         head, *tail = text.split(" ")
         got = list(map(self.rest.get, tail))
         if None in got:
@@ -62,6 +61,8 @@ class Encoder:
                 self.rest.clear()
             for k, x in enumerate(got):
                 if x is None and (x := self.rest.get(tail[k])) is None:
+                    if not tail[k] or tail[k][0].isspace():
+                        return self.plain(text)
                     x = self.rest[tail[k]] = self.plain(" " + tail[k])
                 got[k] = x
         return self.plain(head) + b"".join(got)
