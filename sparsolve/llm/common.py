@@ -160,3 +160,19 @@ def connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
             break
         was = now
     return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id").unionByName(e.selectExpr("v id", "v root").distinct())
+
+
+def added_up(partial: DataFrame, width: int, chunk: int) -> np.ndarray:
+    """The sum of the tasks' arrays of longs, which come as rows (chunk int, counts binary) of `chunk` longs each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    out = np.zeros(width, np.int64)
+    for r in partial.repartition(16, "chunk").mapInArrow(run, "chunk int, counts binary").collect():  # width longs
+        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], np.int64)
+    return out

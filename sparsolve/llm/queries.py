@@ -6,17 +6,68 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
-from .common import read_table
+from . import decontaminate, langid, license, packing, pii, sharding, topk
+from .common import read_table, shared_dir
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(read_table(spark, sf_dir, "documents")).withColumn("blocks", F.size("blocks").cast("long")).withColumnRenamed("blocks", "n_blocks")
+
+
+def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return topk.topk(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended, compacted and read from the committed version: where each one is."""
+    import uuid
+
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store.append(read_table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", F.lit(store.version()).alias("version"), F.col("_shard").alias("shard"), F.col("_row").alias("row"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op4_skip_chain_pii": op4_skip_chain_pii,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_decontamination": op6_decontamination,
+    "op7_exact_topk": op7_exact_topk,
+    "op8_sharding": op8_sharding,
+    "op9_language_id": op9_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, x -> floor(256 * cast(x as double))) e from embeddings
+            where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id query_id, c.vec_id vec_id, cast(list_dot_product(q.e, c.e) as bigint) score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+        ), r as (
+            select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank, vec_id, score from s
+        )
+        select * from r where rank <= 5""",
+}
