@@ -162,7 +162,7 @@ def connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id").unionByName(e.selectExpr("v id", "v root").distinct())
 
 
-def added_up(partial: DataFrame, width: int, chunk: int) -> np.ndarray:
+def added_up(partial: DataFrame, width: int, chunk: int, how: np.ufunc = np.add) -> np.ndarray:
     """The sum of the tasks' arrays of longs, which come as rows (chunk int, counts binary) of `chunk` longs each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
