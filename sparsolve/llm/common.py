@@ -176,3 +176,48 @@ def added_up(partial: DataFrame, width: int, chunk: int, how: np.ufunc = np.add)
     for r in partial.repartition(16, "chunk").mapInArrow(run, "chunk int, counts binary").collect():  # width longs
         out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], np.int64)
     return out
+
+
+#: Bits of the filters that spare most rows another look; false hits cost time only.
+FILTER_BITS = 23
+_FILTER_CHUNK = 4096
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return mix(np.ascontiguousarray(ids).astype(np.int64, copy=False).view(np.uint64)) >> np.uint64(64 - bits)
+
+
+def mark(words: np.ndarray, ids: np.ndarray) -> None:
+    """Notes the ids (longs) in a filter of 64-bit words."""
+    at = _places(ids, int(len(words) * 64).bit_length() - 1)
+    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+
+
+def spotted(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the ids may have been noted."""
+    at = _places(ids, int(len(words) * 64).bit_length() - 1)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def filter_rows(words: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """A task's filter as the rows that `filter_sum` takes."""
+    used = [c for c in range(len(words) // _FILTER_CHUNK) if words[c * _FILTER_CHUNK : (c + 1) * _FILTER_CHUNK].any()]
+    return used, [words[c * _FILTER_CHUNK : (c + 1) * _FILTER_CHUNK].tobytes() for c in used]
+
+
+def filter_sum(partial: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The tasks' filters (chunk, counts) as one, of 2 ** bits bits."""
+    return added_up(partial, (1 << bits) // 64, _FILTER_CHUNK, np.bitwise_or).view(np.uint64)
+
+
+def seen_bits(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of fixed size in which the ids of the table are noted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros((1 << bits) // 64, np.uint64)
+        for b in batches:
+            mark(words, b.column(column).to_numpy())
+        chunks, counts = filter_rows(words)
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(counts, pa.binary())], ["chunk", "counts"])
+
+    return filter_sum(ids.select(column).mapInArrow(run, "chunk int, counts binary"), bits)

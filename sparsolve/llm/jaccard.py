@@ -6,11 +6,8 @@ similarity share a token in their prefixes, and two tokens in prefixes one longe
 2-subsets of their longer prefix, and heavy (large) ones scan the inverted lists of their prefix tokens; light sets near the
 boundary are also put on the lists, for their heavy partners.  The boundary is where enumerating stops being cheaper.
 
-A list of up to `SHORT` nodes gives all its pairs.  A longer one gives a star: each node with the list's hub; as only components
-are asked for, pairs within a component need no look, so long lists then give pairs of nodes of different components
-alone: stars around other hubs first, then all that are left.  Keys that many nodes share are split by a salt; the
-hubs of the parts form a star of their own.  A pair is dropped if histograms of its hashed shingles show
-that too few can be shared; the others are counted exactly.
+Candidates become components as `linking` has it.  A pair is dropped if histograms of its hashed shingles show that too few can be
+shared; the others are counted exactly.
 """
 
 from __future__ import annotations
@@ -18,32 +15,25 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, added_up, connected, mix, pieces, shingle_hashes, signed, spaced_words, utf8, word_hashes
+from .common import Scratch, added_up, mix, pieces, seen_bits, shingle_hashes, signed, spaced_words, spotted, utf8, word_hashes
+from .linking import Linker
 
 #: Counters of the document-frequency sketch, and the chunks in which they travel.
 SKETCH_BITS = 20
 _CHUNK = 1024
 #: Buckets of a set's histogram.
 BUCKETS = 128
-#: Lists of up to so many nodes give all their pairs.
-SHORT = 12
 #: A key gets another salt for each so many nodes.
 SALT = 2048
 #: Sets above this size are never light.
 LIGHT_MOST = 64
-#: Bits of the filter that spares most documents the third look; false hits cost time only.
-FILTER_BITS = 23
-#: Stars around other hubs before long lists give all pairs that are left.
-STARS = 2
 
 
 def needed(n: int | np.ndarray, num: int, den: int):
@@ -157,44 +147,6 @@ class JaccardJoin:
         found = self.docs.mapInArrow(run, "id long, n long, a long, b long, hist binary, keys array<long>, salts array<long>, split array<boolean>")
         return self.scratch.save(found.join(heads.select(F.col("rep").alias("id"), "a", "b"), ["id", "a", "b"]).select("id", "n", "hist", "keys", "salts", "split"), "nodes")
 
-    def lists(self, nodes: DataFrame) -> DataFrame:
-        """Rows (key, split, id, n, size, hub, hub_n) of keys that several nodes have; size and hub of the key's part."""
-        w = W.partitionBy("key", "salt")
-        rows = nodes.select("id", "n", F.expr("inline(arrays_zip(keys, salts, split))")).toDF("id", "n", "key", "salt", "split")
-        hub = F.min(F.struct(F.xxhash64("id").alias("r"), "id", "n")).over(w)
-        found = rows.withColumn("size", F.count("*").over(w)).withColumn("h", hub).where("size > 1 or split")
-        return self.scratch.save(found.selectExpr("key", "split", "salt", "id", "n", "size", "h.id hub", "h.n hub_n"), "lists")
-
-    def _fits(self, a: str, b: str) -> F.Column:
-        return F.expr(f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})")
-
-    def _pairs(self, rows: DataFrame) -> DataFrame:
-        """Different pairs u < v of (x, xn, y, yn) whose sizes fit."""
-        return rows.where("x <> y").where(self._fits("xn", "yn")).selectExpr("least(x, y) u", "greatest(x, y) v").distinct()
-
-    def first_pairs(self, lists: DataFrame) -> DataFrame:
-        star = lists.where(f"size > {SHORT}").selectExpr("id x", "n xn", "hub y", "hub_n yn")
-        hubs = lists.where("split").select("key", "hub", "hub_n").distinct()
-        top = F.min(F.struct(F.xxhash64("hub").alias("r"), F.col("hub").alias("id"), F.col("hub_n").alias("n"))).over(W.partitionBy("key"))
-        over = hubs.withColumn("h", top).selectExpr("hub x", "hub_n xn", "h.id y", "h.n yn")
-        # the pairs of a short list, made where the list is: at most SHORT per row
-        short = lists.where(f"size <= {SHORT}").groupBy("key", "salt").agg(F.collect_list(F.struct("id", "n")).alias("l"))
-        each = short.select("l", F.explode("l").alias("x")).select("x", F.explode("l").alias("y")).where("x.id < y.id").selectExpr("x.id x", "x.n xn", "y.id y", "y.n yn")
-        return self._pairs(star.unionByName(over).unionByName(each))
-
-    def later_pairs(self, lists: DataFrame, roots: DataFrame, turn: int) -> DataFrame | None:
-        """Pairs of different components on long or split lists: stars for the first turns, all that are left at last; None if no list mixes components."""
-        long = lists.where(f"split or size > {SHORT}").select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = long.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        open_ = self.scratch.save(long.join(mixed, "key"), "open")
-        if open_.isEmpty():
-            return None
-        if turn <= STARS:
-            hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), "id", "n", "root")).alias("h"))
-            return self._pairs(open_.join(hub, "key").where("root <> h.root").selectExpr("id x", "n xn", "h.id y", "h.n yn"))
-        other = open_.selectExpr("key", "id y", "n yn", "root other")
-        return self._pairs(open_.selectExpr("key", "id x", "n xn", "root").join(other, "key").where("root < other"))
-
     def links(self, pairs: DataFrame, nodes: DataFrame, heads: DataFrame) -> DataFrame | None:
         """Those of the pairs that are similar enough."""
         num, den = self.num, self.den
@@ -219,26 +171,13 @@ class JaccardJoin:
 
     def third_look(self, ids: DataFrame, heads: DataFrame) -> DataFrame:
         """(id, set) of the given nodes."""
-        words, chunk = (1 << FILTER_BITS) // 64, 4096
-        place = lambda x: mix(x.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(words, np.uint64)
-            for b in batches:
-                at = place(b.column("id").to_numpy())
-                np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-            used = [c for c in range(words // chunk) if bits[c * chunk : (c + 1) * chunk].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([bits[c * chunk : (c + 1) * chunk].tobytes() for c in used], pa.binary())], ["chunk", "counts"])
-
-        bits = added_up(ids.mapInArrow(mark, "chunk int, counts binary"), words, chunk, np.bitwise_or).view(np.uint64)
-        sent, sets = self.spark.sparkContext.broadcast(bits), self.sets  # 2 ** FILTER_BITS bits
+        sent, sets = self.spark.sparkContext.broadcast(seen_bits(ids, "id")), self.sets  # 2 ** FILTER_BITS bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = sent.value
             for b in pieces(batches):
                 b = b.filter(b.column("doc_id").is_valid())
-                at = place(b.column("doc_id").to_numpy())
-                b = b.filter(pa.array((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+                b = b.filter(pa.array(spotted(bits, b.column("doc_id").to_numpy())))
                 out = [(doc, *_set_digest(h), signed(h)) for doc, h in zip(b.column("doc_id").to_pylist(), sets(utf8(b.column("text"))), strict=True)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.list_(pa.int64())], strict=True)], ["id", "a", "b", "set"])
@@ -251,18 +190,9 @@ class JaccardJoin:
         looked, sketch = self.first_look()
         heads = self.scratch.save(looked.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "heads")
         nodes = self.second_look(heads, sketch)
-        lists = self.lists(nodes)
-        links = [x for x in [self.links(self.first_pairs(lists), nodes, heads)] if x is not None]
-        schema = "u long, v long"
-        roots = connected(self.scratch, reduce(DataFrame.union, links) if links else self.spark.createDataFrame([], schema))
-        for turn in range(1, STARS + 2):
-            pairs = self.later_pairs(lists, roots, turn)
-            if pairs is None:
-                break
-            new = self.links(pairs, nodes, heads)
-            if new is not None:
-                links.append(new)
-                roots = connected(self.scratch, reduce(DataFrame.union, links))
+        rows = nodes.select("id", "n", F.expr("inline(arrays_zip(keys, salts, split))")).toDF("id", "n", "key", "salt", "split")
+        fits = lambda a, b: F.expr(f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})")
+        roots = Linker(self.scratch, fits, lambda pairs: self.links(pairs, nodes, heads)).roots(rows)
         out = looked.join(heads, ["a", "b"], "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
