@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, license, lines, packing, pii, sharding, topk
+from . import decontaminate, jaccard, langid, license, lines, packing, passages, pii, sharding, topk
 from .common import read_table, shared_dir
 
 
@@ -20,6 +20,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_skip_chain_pii": op4_skip_chain_pii,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_decontamination": op6_decontamination,
