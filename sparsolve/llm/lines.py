@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, filter_rows, filter_sum, mark, pieces, seen_bits, spotted
 from .linking import Linker
@@ -245,3 +246,38 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, fuzzy: int = FUZZY) ->
     found = have.join(per, ["doc", "digest"], "left").select("doc", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
     empty = bare.select("doc", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed"))
     return found.unionByName(empty).select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "n_lines", "n_removed", "removed")
+
+
+def without_duplicates(docs: DataFrame, edits: int = EDITS, fuzzy: int = FUZZY) -> DataFrame:
+    """The documents with the lines taken out that `duplicate_lines` removes, n_chars (if there) brought up to date.
+
+    Documents of which no line is left, though they had some, go; all other columns stay as they are."""
+    job = LineDedup(docs, edits, fuzzy)
+    again, _ = job.removed()
+    gone = again.groupBy("doc", "digest").agg(F.collect_set("line").alias("_gone"))  # a document's lines at most
+    kept = docs.columns
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            digest = [line_id(t or "") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digest, pa.int64())], [*kept, "digest"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            texts, ok = [], []
+            for text, lines_ in zip(b.column("text").to_pylist(), b.column("_gone").to_pylist(), strict=True):
+                left = text
+                if lines_:
+                    own = set(lines_)
+                    left = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in own)
+                texts.append(left)
+                ok.append(not lines_ or bool(left.strip()))
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in kept:
+                new["n_chars"] = pa.array([n if not g or t is None else len(t) for n, g, t in zip(b.column("n_chars").to_pylist(), b.column("_gone").to_pylist(), texts, strict=True)], b.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in kept], kept).filter(pa.array(ok, pa.bool_()))
+
+    with_digest = docs.mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField("digest", T.LongType())]))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    found = with_digest.withColumn("doc", key).join(gone, ["doc", "digest"], "left").select(*kept, "_gone")
+    return found.mapInArrow(cut, docs.schema)
