@@ -12,6 +12,8 @@ import json
 import time
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -140,12 +142,27 @@ class ShardStore:
             for start in range(0, len(todo), WAVE):
                 folder = f"data/m-{uuid.uuid4().hex}"
                 parts = [self.spark.read.schema(schema).parquet(*(f"{self.root}/{s.path}" for s in g)).coalesce(1) for g in todo[start : start + WAVE]]
-                reduce(DataFrame.union, parts).write.parquet(f"{self.root}/{folder}")
+                with self._apart():
+                    reduce(DataFrame.union, parts).write.parquet(f"{self.root}/{folder}")
                 new = self._sized(folder, schema)
                 shards += new
                 made += [s.path for s in new]
         return self.commit(version + 1, shards, schema) if made else version
 
+    @contextmanager
+    def _apart(self) -> Iterator[None]:
+        """A union of single partitions stays one partition per input, so one task and one file per group."""
+        name = "spark.sql.unionOutputPartitioning"
+        was = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, "false")
+        try:
+            yield
+        finally:
+            if was is None:
+                self.spark.conf.unset(name)
+            else:
+                self.spark.conf.set(name, was)
+
     def vacuum(self) -> None:
         """Deletes files that the newest version doesn't list; older versions can't be read afterwards."""
         kept = {s.path for s in self.manifest()[0]}
