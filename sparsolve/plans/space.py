@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..types import Matrix, ShapeError, Vector
+from .lineage import ensure_folder
 
 #: Longest vector that BroadcastSpace sends to all executors (40 MB).
 BROADCAST_MOST = 5_000_000
@@ -38,14 +39,7 @@ class FrameSpace:
     def __init__(self, spark: SparkSession, n: int, parts: int | None = None):
         self.spark, self.n = spark, n
         self.parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            import atexit
-            import shutil
-            import tempfile
-
-            own = tempfile.mkdtemp(prefix="sparsolve-")  # where no shared folder is set: tests, one machine
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            spark.sparkContext.setCheckpointDir(own)
+        ensure_folder(spark)
         self.state = spark.range(0, n).withColumnRenamed("id", "i").repartition(self.parts, "i")
         self.names: set[str] = set()
         self._by: dict[tuple[str, bool], DataFrame] = {}

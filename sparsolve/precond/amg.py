@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..graph import GREEDY_MOST
 from ..operators import linalg as la
+from ..plans.lineage import cut, cut_matrix
 from ..types import Matrix, Unsupported
 from .base import Preconditioner
 
@@ -90,10 +91,10 @@ def coarse_graph(s: Matrix, agg: DataFrame, n: int) -> Matrix:
 
 def double_pairwise(s: Matrix) -> tuple[DataFrame, int]:
     """Pairs of pairs: (i, agg), and how many there are."""
-    one = pairwise(s).persist()
+    one = cut(pairwise(s))
     n = one.agg(F.max("agg")).first()[0] + 1
     two = pairwise(coarse_graph(s, one, n))
-    both = one.withColumnRenamed("agg", "p").join(two.selectExpr("i p", "agg"), "p").select("i", "agg").persist()
+    both = cut(one.withColumnRenamed("agg", "p").join(two.selectExpr("i p", "agg"), "p").select("i", "agg"))
     return both, both.agg(F.max("agg")).first()[0] + 1
 
 
@@ -146,7 +147,7 @@ class Amg(Preconditioner):
         self.levels: list[Level] = []
 
     def setup(self, a: Matrix) -> Amg:
-        self.levels = [Level(Matrix(a.df.persist(), a.nrows, a.ncols))]
+        self.levels = [Level(cut_matrix(a))]
         while len(self.levels) < self.max_levels and (top := self.levels[-1]).a.nrows > COARSE:
             strong = strength(top.a, adaptive_threshold(top.a, self.threshold) if self.mode == "reference" else self.threshold * 0.5 ** (len(self.levels) - 1))
             agg, n = double_pairwise(strong)
@@ -158,9 +159,8 @@ class Amg(Preconditioner):
             else:
                 p = smooth_interpolation(bare, top.a, self.omega)
                 r = la.transpose(p)
-            top.p, top.r = Matrix(p.df.persist(), p.nrows, p.ncols), r
-            coarse = galerkin(r, top.a, top.p)
-            self.levels.append(Level(Matrix(coarse.df.persist(), n, n)))
+            top.p, top.r = cut_matrix(p), cut_matrix(r)
+            self.levels.append(Level(cut_matrix(galerkin(top.r, top.a, top.p))))
         last = self.levels[-1].a
         if last.nrows > 2000:
             raise Unsupported(f"coarsening stopped at {last.nrows} rows")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dense
+from ..plans.lineage import cut
 from ..types import Matrix, Unsupported
 from .base import ArrayPreconditioner, MatrixPreconditioner, Preconditioner
 
@@ -248,7 +249,7 @@ class MultiColor(Preconditioner):
     def setup(self, a: Matrix) -> MultiColor:
         from ..graph import color_graph
 
-        colors = color_graph(a).persist()
+        colors = cut(color_graph(a))
         self.n_colors = colors.agg(F.max("color")).first()[0] + 1
         inverse = a.df.where("i = j").selectExpr("i", "j", "1D / v v")
         self.masks = [Matrix(inverse.join(colors.where(F.col("color") == k).select("i"), "i", "left_semi"), a.nrows, a.ncols) for k in range(self.n_colors)]
