@@ -93,6 +93,17 @@ class Sets:
             yield np.unique(shingle_hashes(word_hashes(self.words(t)), self.k))
 
 
+@dataclass(frozen=True)
+class Enough:
+    """Whether histograms allow enough shared shingles: the sum of the buckets' lesser counts is at least what is shared."""
+
+    num: int
+    den: int
+
+    def __call__(self, u: np.ndarray, un: int, v: np.ndarray, vn: np.ndarray) -> np.ndarray:
+        return (self.num + self.den) * np.minimum(u, v).sum(1, dtype=np.int64) >= self.num * (un + vn)
+
+
 class JaccardJoin:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int, words: Callable[[bytes], list[bytes]] = spaced_words):
         if not den >= num > den / 2:
@@ -125,7 +136,7 @@ class JaccardJoin:
         return both.where("chunk is null").select("doc_id", "n", "a", "b"), sketch
 
     def second_look(self, heads: DataFrame, sketch: np.ndarray) -> DataFrame:
-        """Nodes (id, n, hist, keys, salts): a document for each different set."""
+        """Nodes (id, n, w, hist, keys, salts, split): a document for each different set; w: how common its shingles are."""
         sent = self.spark.sparkContext.broadcast(np.minimum(sketch, 2**32 - 1).astype(np.uint32))  # 2 ** SKETCH_BITS counters
         sets, num, den, light = self.sets, self.num, self.den, boundary(sketch, self.num, self.den)
 
@@ -136,27 +147,27 @@ class JaccardJoin:
                 for doc, h in zip(b.column("doc_id").to_pylist(), sets(utf8(b.column("text"))), strict=True):
                     if not len(h) or doc is None:
                         continue
-                    keys, freq = keys_of(h, counters[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], light, num, den)
+                    df = counters[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    keys, freq = keys_of(h, df, light, num, den)
                     parts = freq.astype(np.int64) // SALT + 1
-                    out.append((doc, len(h), *_set_digest(h), _bucket(h).tobytes(), signed(keys), hash(doc) % parts, parts > 1))
+                    out.append((doc, len(h), float(np.log(df).mean()), *_set_digest(h), _bucket(h).tobytes(), signed(keys), doc % parts, parts > 1))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-        names = ["id", "n", "a", "b", "hist", "keys", "salts", "split"]
-        types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-        found = self.docs.mapInArrow(run, "id long, n long, a long, b long, hist binary, keys array<long>, salts array<long>, split array<boolean>")
-        return self.scratch.save(found.join(heads.select(F.col("rep").alias("id"), "a", "b"), ["id", "a", "b"]).select("id", "n", "hist", "keys", "salts", "split"), "nodes")
+        names = ["id", "n", "w", "a", "b", "hist", "keys", "salts", "split"]
+        types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()] + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+        found = self.docs.mapInArrow(run, "id long, n long, w double, a long, b long, hist binary, keys array<long>, salts array<long>, split array<boolean>")
+        return self.scratch.save(found.join(heads.select(F.col("rep").alias("id"), "a", "b"), ["id", "a", "b"]).select("id", "n", "w", "hist", "keys", "salts", "split"), "nodes")
 
     def links(self, pairs: DataFrame, nodes: DataFrame, heads: DataFrame) -> DataFrame | None:
         """Those of the pairs that are similar enough."""
-        num, den = self.num, self.den
+        num, den, enough = self.num, self.den, Enough(self.num, self.den)
         side = lambda x: nodes.selectExpr(f"id {x}", f"n {x}n", f"hist {x}h")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 hist = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("uh", "vh")]
-                most = np.minimum(*hist).sum(1, dtype=np.int64)
-                ok = (num + den) * most >= num * (b.column("un").to_numpy() + b.column("vn").to_numpy())
+                ok = enough(hist[0], b.column("un").to_numpy(), hist[1], b.column("vn").to_numpy())
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in ("u", "v", "un", "vn")], ["u", "v", "un", "vn"]).filter(pa.array(ok))
 
         near = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "un", "vn", "uh", "vh").mapInArrow(run, "u long, v long, un long, vn long")
@@ -190,9 +201,9 @@ class JaccardJoin:
         looked, sketch = self.first_look()
         heads = self.scratch.save(looked.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "heads")
         nodes = self.second_look(heads, sketch)
-        rows = nodes.select("id", "n", F.expr("inline(arrays_zip(keys, salts, split))")).toDF("id", "n", "key", "salt", "split")
+        rows = nodes.select("id", "n", "w", F.expr("inline(arrays_zip(keys, salts, split))")).toDF("id", "n", "w", "key", "salt", "split")
         fits = lambda a, b: F.expr(f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})")
-        roots = Linker(self.scratch, fits, lambda pairs: self.links(pairs, nodes, heads)).roots(rows)
+        roots = Linker(self.scratch, fits, lambda pairs: self.links(pairs, nodes, heads), lambda ids: nodes.selectExpr("id", "hist sig"), Enough(self.num, self.den)).roots(rows)
         out = looked.join(heads, ["a", "b"], "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 

@@ -11,6 +11,7 @@ segment may stand.  A filter of fixed size over all indexed segments spares most
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ EDITS = 2
 FUZZY = 24
 #: Bits of the filter of indexed segments.
 SEGMENT_BITS = 26
+#: Buckets of a line's histogram of code points.
+BUCKETS = 128
 #: Entries after which a task's memory of lines that it has looked at starts anew.
 SEEN = 400_000
 _LAST = (1 << 63) - 1
@@ -120,6 +123,16 @@ def within(a: str, b: str, t: int) -> bool:
     return score <= t
 
 
+@dataclass(frozen=True)
+class FewEdits:
+    """Whether counts of code points allow so few edits: each changes two counts at most."""
+
+    edits: int
+
+    def __call__(self, u: np.ndarray, un: int, v: np.ndarray, vn: np.ndarray) -> np.ndarray:
+        return (np.abs(vn - un) <= self.edits) & (np.abs(v.astype(np.int32) - u.astype(np.int32)).sum(1) <= 2 * self.edits)
+
+
 class LineDedup:
     def __init__(self, docs: DataFrame, edits: int = EDITS, fuzzy: int = FUZZY):
         if fuzzy <= edits:
@@ -187,14 +200,11 @@ class LineDedup:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(np.array(ids, np.int64)[kept]), pa.array(np.array(sizes, np.int64)[kept])], ["key", "id", "n"])
 
         found = self.docs.select("text").mapInArrow(run, "key long, id long, n long")
-        return found.select("key", F.lit(0).cast("long").alias("salt"), F.lit(False).alias("split"), "id", "n")
+        return found.select("key", F.lit(0).cast("long").alias("salt"), F.lit(False).alias("split"), "id", "n", F.lit(0.0).alias("w"))
 
-    def verify(self, pairs: DataFrame) -> DataFrame | None:
-        pairs = self.scratch.save(pairs, "pairs")
-        if pairs.isEmpty():
-            return None
-        ids = pairs.selectExpr("u id").union(pairs.selectExpr("v id")).distinct()
-        sent, fuzzy, edits = self.spark.sparkContext.broadcast(seen_bits(ids, "id")), self.fuzzy, self.edits  # 2 ** FILTER_BITS bits
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(id, t) of the given lines."""
+        sent, fuzzy = self.spark.sparkContext.broadcast(seen_bits(ids, "id")), self.fuzzy  # 2 ** FILTER_BITS bits
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, seen = sent.value, set()
@@ -207,12 +217,30 @@ class LineDedup:
                 seen.update(at)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([lines[i] for i in at], pa.string())], ["id", "t"])
 
+        return self.scratch.save(self.docs.select("text").mapInArrow(look, "id long, t string").dropDuplicates(["id"]).join(ids, "id", "left_semi"), "texts")
+
+    def signatures(self, ids: DataFrame) -> DataFrame:
+        """(id, sig): how often each of BUCKETS kinds of code points stands in a line."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches):
+                sig = [np.minimum(np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % BUCKETS, minlength=BUCKETS), 65535).astype(np.uint16).tobytes() for t in b.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sig, pa.binary())], ["id", "sig"])
+
+        return self.texts(ids).mapInArrow(run, "id long, sig binary")
+
+    def verify(self, pairs: DataFrame) -> DataFrame | None:
+        pairs = self.scratch.save(pairs, "pairs")
+        if pairs.isEmpty():
+            return None
+        edits = self.edits
+
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches):
                 ok = [within(x, y, edits) for x, y in zip(b.column("ut").to_pylist(), b.column("vt").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-        texts = self.scratch.save(self.docs.select("text").mapInArrow(look, "id long, t string").dropDuplicates(["id"]).join(ids, "id", "left_semi"), "texts")
+        texts = self.texts(pairs.selectExpr("u id").union(pairs.selectExpr("v id")).distinct())
         both = pairs.join(texts.selectExpr("id u", "t ut"), "u").join(texts.selectExpr("id v", "t vt"), "v")
         return self.scratch.save(both.select("u", "v", "ut", "vt").mapInArrow(check, "u long, v long"), "links")
 
@@ -220,7 +248,7 @@ class LineDedup:
         """(doc, digest, line, first_doc, first_line) of lines with an earlier duplicate; and all occurrences."""
         lines, filter_ = self.occurrences()
         edits = self.edits
-        roots = Linker(self.scratch, lambda a, b: F.expr(f"abs({a} - {b}) <= {edits}"), self.verify).roots(self.keys(filter_))
+        roots = Linker(self.scratch, lambda a, b: F.expr(f"abs({a} - {b}) <= {edits}"), self.verify, self.signatures, FewEdits(edits)).roots(self.keys(filter_))
         first = F.min(F.struct("doc", "line", "digest")).alias("f")
         own = lines.groupBy("id").agg(first, F.count("*").alias("c"))
         rooted = self.scratch.save(own.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "firsts")
