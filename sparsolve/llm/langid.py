@@ -107,14 +107,20 @@ def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: i
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search on its logarithm."""
+    """The temperature of least log loss, by golden-section search on its logarithm.
+
+    As in Platt's targets, a label counts (n + 1) / (n + languages), so that a sample without errors doesn't make everything certain."""
     if not len(y):
         return 1.0
 
+    smooth = np.full(logits.shape, 1.0 / (len(y) + logits.shape[1]))
+    smooth[np.arange(len(y)), y] = (len(y) + 1.0) / (len(y) + logits.shape[1])
+    smooth /= smooth.sum(1, keepdims=True)
+
     def loss(t: float) -> float:
         v = logits / np.exp(t)
         v = v - v.max(1, keepdims=True)
-        return float((np.log(np.exp(v).sum(1)) - v[np.arange(len(y)), y]).mean())
+        return float((np.log(np.exp(v).sum(1)) - (smooth * v).sum(1)).mean())
 
     a, b, r = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(60):
