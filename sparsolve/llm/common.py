@@ -169,7 +169,7 @@ def added_up(partial: DataFrame, width: int, chunk: int, how: np.ufunc = np.add)
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(raw, np.int64)
+                total[k] = how(total.get(k, 0), np.frombuffer(raw, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
     out = np.zeros(width, np.int64)

