@@ -139,9 +139,6 @@ def connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
     joins on a hub's key are plain equi-joins, which adaptive execution may split.
     """
 
-    def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m"))
-
     def shape(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -149,10 +146,10 @@ def connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
     was = shape(e)
     while was[0]:
         both = e.unionByName(e.selectExpr("v u", "u v"))
-        near = least(both.unionByName(both.selectExpr("u", "u v").distinct()))
-        large = both.where("v > u").join(near, "u").selectExpr("v u", "m v").where("u <> v").distinct()
-        low = least(large)
-        small = large.join(low, "u").selectExpr("v u", "m v").where("u <> v").unionByName(low.selectExpr("u", "m v")).distinct()
+        near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(near, "u").selectExpr("v u", "m v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").selectExpr("v u", "m v").unionByName(low.selectExpr("u", "m v"))
         new = scratch.save(small.selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), "links")
         scratch.drop(e)
         now, e = shape(new), new

@@ -11,7 +11,6 @@ could join two components goes unseen.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from .common import Scratch, connected
 #: Lists of up to so many nodes give all their pairs.
 SHORT = 12
 #: Stars around other hubs before what is left is compared in blocks.
-STARS = 2
+STARS = 1
 #: Nodes of a block.
 BLOCK = 4096
 
@@ -101,14 +100,13 @@ class Linker:
     def roots(self, rows: DataFrame) -> DataFrame:
         """(id, root) of all nodes that have a link, root being the least id of the component; rows: (key, salt, split, id, n, w)."""
         lists = self.lists(rows)
-        links = [x for x in [self.verify(self.first_pairs(lists))] if x is not None]
-        roots = connected(self.scratch, reduce(DataFrame.union, links) if links else self.scratch.spark.createDataFrame([], "u long, v long"))
+        links = self.verify(self.first_pairs(lists))
+        roots = connected(self.scratch, links if links is not None else self.scratch.spark.createDataFrame([], "u long, v long"))
         for turn in range(1, STARS + 2):
             pairs = self.later_pairs(lists, roots, turn)
             if pairs is None:
                 break
             new = self.verify(pairs)
             if new is not None:
-                links.append(new)
-                roots = connected(self.scratch, reduce(DataFrame.union, links))
+                roots = connected(self.scratch, roots.selectExpr("id u", "root v").unionByName(new))
         return roots
