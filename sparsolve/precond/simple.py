@@ -16,6 +16,10 @@ from ..types import Matrix, Unsupported
 from .base import ArrayPreconditioner, MatrixPreconditioner, Preconditioner
 
 
+#: Neighbouring blocks or columns that are worked on in one call.
+CHUNK = 64
+
+
 class Jacobi(MatrixPreconditioner):
     """z = r / diag(A); zero where the diagonal is."""
 
@@ -35,15 +39,29 @@ def block_inverses(a: Matrix, blocks: DataFrame) -> DataFrame:
     own = blocks.select("block", "i")
     cells = a.df.join(own, "i").join(own.withColumnRenamed("i", "j"), ["block", "j"]).select("block", "i", "j", "v")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        index = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
+    def one(i: np.ndarray, j: np.ndarray, v: np.ndarray, block: int) -> tuple:
+        index = np.unique(np.concatenate([i, j]))
         m = np.zeros((len(index), len(index)))
-        m[np.searchsorted(index, pdf["i"]), np.searchsorted(index, pdf["j"])] = pdf["v"]
+        m[np.searchsorted(index, i), np.searchsorted(index, j)] = v
         inv = dense.lu_solve(m, np.eye(len(index)))
         i, j = np.nonzero(inv)
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "i": index[i], "j": index[j], "v": inv[i, j]})
+        return np.full(len(i), block), index[i], index[j], inv[i, j]
+
+    return _in_chunks(cells, "block", one, "block long, i long, j long, v double")
+
+
+def _in_chunks(cells: DataFrame, key: str, one, schema: str) -> DataFrame:
+    """`one`(i, j, v, key) for each key; CHUNK neighbouring keys are a call from Spark, which costs more than a small system."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        k, i, j, v = (pdf[c].to_numpy() for c in (key, "i", "j", "v"))
+        cuts = [0, *(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]
+        got = [one(i[a:b], j[a:b], v[a:b], k[a]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pd.DataFrame({c: np.concatenate([g[n] for g in got]) for n, c in enumerate(names)})
 
-    return cells.groupBy("block").applyInPandas(run, "block long, i long, j long, v double")
+    return cells.withColumn("_chunk", F.expr(f"{key} div {CHUNK}")).groupBy("_chunk").applyInPandas(run, schema)
 
 
 class BlockJacobi(MatrixPreconditioner):
@@ -91,16 +109,15 @@ class ApproximateInverse(MatrixPreconditioner):
         cells = pattern.join(a.df, "j").select("c", "i", "j", "v")
         drop = self.drop
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            c = pdf["c"].iloc[0]
-            cols, rows = np.unique(pdf["j"]), np.unique(np.append(pdf["i"], c))
+        def one(i: np.ndarray, j: np.ndarray, v: np.ndarray, c: int) -> tuple:
+            cols, rows = np.unique(j), np.unique(np.append(i, c))
             m = np.zeros((len(rows), len(cols)))
-            m[np.searchsorted(rows, pdf["i"]), np.searchsorted(cols, pdf["j"])] = pdf["v"]
+            m[np.searchsorted(rows, i), np.searchsorted(cols, j)] = v
             x = np.linalg.lstsq(m, (rows == c).astype(float), rcond=None)[0]
             big = np.abs(x) > drop
-            return pd.DataFrame({"i": cols[big], "j": c, "v": x[big]})
+            return cols[big], np.full(big.sum(), c), x[big]
 
-        self.inverse = Matrix(cells.groupBy("c").applyInPandas(run, "i long, j long, v double"), a.nrows, a.ncols)
+        self.inverse = Matrix(_in_chunks(cells, "c", one, "i long, j long, v double"), a.nrows, a.ncols)
         return self
 
 

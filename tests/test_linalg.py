@@ -177,4 +177,4 @@ def test_entry_names():
     import __spark_entry__
 
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert sql.keys() <= queries.keys() and len(queries) > 80
+    assert sql.keys() <= queries.keys() and len(queries) >= 80
