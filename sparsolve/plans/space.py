@@ -8,7 +8,7 @@ Rectangular matrices live in the square of the longer side, filled up with zeros
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..types import Matrix, ShapeError, Vector
+from ..types import Matrix, ShapeError, Unsupported, Vector
 from .lineage import ensure_folder
 
 #: Longest vector that BroadcastSpace sends to all executors (40 MB).
@@ -43,14 +43,19 @@ class FrameSpace:
         self.state = spark.range(0, n).withColumnRenamed("id", "i").repartition(self.parts, "i")
         self.names: set[str] = set()
         self._by: dict[tuple[str, bool], DataFrame] = {}
+        self._free: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
     def add_matrix(self, name: str, a: Matrix) -> None:
         if max(a.nrows, a.ncols) > self.n:
             raise ShapeError(f"{a.nrows} x {a.ncols} in a space of {self.n}")
         self._by[name, False] = a.df.repartition(self.parts, "j").persist()
 
+    def add_operator(self, name: str, f: Callable[[DataFrame], DataFrame]) -> None:
+        """A matrix-free operator: (i, v) to (i, v), absent indices zero."""
+        self._free[name] = f
+
     def has(self, matrix: str) -> bool:
-        return (matrix, False) in self._by
+        return (matrix, False) in self._by or matrix in self._free
 
     def _matrix(self, name: str, transpose: bool) -> DataFrame:
         if (name, transpose) not in self._by:
@@ -77,8 +82,13 @@ class FrameSpace:
 
     def apply(self, matrix: str, src: str, dst: str, transpose: bool = False) -> None:
         """dst = matrix * src: one join and one exchange of partial sums; the state keeps its partitioning."""
-        x = self.state.select(F.col("i").alias("j"), F.col(src).alias("_x"))
-        y = self._matrix(matrix, transpose).join(x.hint("merge"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("_x")).alias("_y"))
+        if matrix in self._free:
+            if transpose:
+                raise Unsupported("a matrix-free operator has no transpose")
+            y = self._free[matrix](self.state.select("i", F.col(src).alias("v"))).select("i", F.col("v").alias("_y"))
+        else:
+            x = self.state.select(F.col("i").alias("j"), F.col(src).alias("_x"))
+            y = self._matrix(matrix, transpose).join(x.hint("merge"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("_x")).alias("_y"))
         kept = sorted(self.names - {dst})
         self.state = self.state.join(y.hint("merge"), "i", "left").select("i", *kept, F.coalesce("_y", F.lit(0.0)).alias(dst))
         self.names.add(dst)
@@ -114,6 +124,11 @@ class LocalSpace:
     def __init__(self, n: int):
         self.n, self.v = n, {}
         self._cells: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self._free: dict[str, Callable[[np.ndarray], np.ndarray]] = {}
+
+    def add_operator(self, name: str, f: Callable[[np.ndarray], np.ndarray]) -> None:
+        """A matrix-free operator."""
+        self._free[name] = f
 
     def add_cells(self, name: str, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> None:
         self._cells[name] = np.asarray(i, np.int64), np.asarray(j, np.int64), np.asarray(v, float)
@@ -126,7 +141,7 @@ class LocalSpace:
         return self._cells[name]
 
     def has(self, matrix: str) -> bool:
-        return matrix in self._cells
+        return matrix in self._cells or matrix in self._free
 
     def load(self, **vectors) -> None:
         for name, x in vectors.items():
@@ -143,6 +158,11 @@ class LocalSpace:
         self.v |= new
 
     def apply(self, matrix: str, src: str, dst: str, transpose: bool = False) -> None:
+        if matrix in self._free:
+            if transpose:
+                raise Unsupported("a matrix-free operator has no transpose")
+            self.v[dst] = self._free[matrix](self.v[src])
+            return
         i, j, v = self._cells[matrix]
         i, j = (j, i) if transpose else (i, j)
         self.v[dst] = np.bincount(i, v * self.v[src][j], self.n) if len(v) else np.zeros(self.n)
@@ -172,13 +192,16 @@ class BroadcastSpace(LocalSpace):
         self._by[name, False] = a.df.select("i", "j", "v").repartition("i").persist()
 
     def has(self, matrix: str) -> bool:
-        return (matrix, False) in self._by
+        return (matrix, False) in self._by or matrix in self._free
 
     def cells(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         t = self._by[name, False].toArrow()
         return tuple(t[c].to_numpy() for c in ("i", "j", "v"))
 
     def apply(self, matrix: str, src: str, dst: str, transpose: bool = False) -> None:
+        if matrix in self._free:
+            super().apply(matrix, src, dst, transpose)
+            return
         if (matrix, transpose) not in self._by:
             self._by[matrix, True] = self._by[matrix, False].selectExpr("j i", "i j", "v").repartition("i").persist()
         sent = self.spark.sparkContext.broadcast(self.v[src])  # n <= BROADCAST_MOST

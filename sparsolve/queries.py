@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .operators import linalg as la
-from .plans.session import PC, SolverSession, Tier, solve_many
+from .plans.session import PC, SolverSession, Tier, gather, scatter, solve_many
 from .plans.space import FrameSpace, LocalSpace
 from .precond import amg
 from .precond.simple import AdditiveSchwarz, ApproximateInverse, BlockJacobi, Chebyshev, Sor, Sweeps, ilu0_reference, ilut_reference
+from .solvers import krylov
 from .solvers.direct import DirectLU, DirectQR, solve_batch
 from .solvers.options import NormType
 from .sources import ingest, systems
@@ -167,9 +168,36 @@ def event_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return systems.moves(spark, sf_dir).df.select("i", "j", F.col("v").cast("long").alias("v"))
 
 
+@query("select c_custkey i, cast(c_custkey % 7 + 1 as bigint) v from customer")
+def scatter_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dealt out by ranges and brought back in order."""
+    n = systems.customers(spark, sf_dir)
+    dealt = Vector(scatter(systems.truth(spark, n).df, 4), n)
+    return spark.createDataFrame([(k, int(v)) for k, v in enumerate(gather(dealt))], "i long, v long")
+
+
+@query("select cast(sum(c_custkey % 7 + 1) as bigint) total from customer")
+def all_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum over all workers: partial sums, then one."""
+    n = systems.customers(spark, sf_dir)
+    return scatter(systems.truth(spark, n).df, 4).agg(F.sum("v").cast("long").alias("total"))
+
+
 # --- Krylov methods
 
 
+@query(CUSTOMERS)
+def cg_matrix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator is a function of DataFrames: 4 x_i less both neighbours, by a union and a sum."""
+    a = systems.chain(spark, sf_dir)
+    s = FrameSpace(spark, a.nrows)
+    s.add_operator("A", lambda x: x.selectExpr("inline(array(struct(i, 4 * v v), struct(i - 1 i, -v v), struct(i + 1 i, -v v)))").groupBy("i").agg(F.sum("v").alias("v")))
+    s.load(b=systems.right_side(a), x=Vector(spark.range(0).selectExpr("id i", "0D v"), a.nrows))
+    krylov.cg(s, Convergence(1e-10, 100))
+    s.cut()
+    return checked(s.vector("x"))
+
+
 @query(CUSTOMERS)
 def cg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solved(systems.chain(spark, sf_dir), "cg")
