@@ -155,6 +155,45 @@ def test_passages(spark, monkeypatch, short):
     assert passages.repeated_passages(df.limit(0)).collect() == []
 
 
+def longest_runs(a, b):
+    """(length, start, end) in a of the maximal equal runs of a and b."""
+    out = []
+    for shift in range(-len(b) + 1, len(a)):
+        run = 0
+        for i in range(max(0, shift), min(len(a), len(b) + shift) + 1):
+            if i < min(len(a), len(b) + shift) and a[i] == b[i - shift]:
+                run += 1
+            else:
+                if run >= passages.PASSAGE:
+                    out.append((run, i - run, i))
+                run = 0
+    return out
+
+
+def test_overlapping_parts_of_one_text_equal_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs = []
+    for _ in range(2):
+        text = [word() for _ in range(300)]
+        for _ in range(50):
+            at = rng.randrange(len(text) - 60)
+            docs.append([word() for _ in range(rng.randint(0, 20))] + text[at : at + 60] + [word() for _ in range(rng.randint(0, 20))])
+    runs = {(x, y): longest_runs(a, b) for x, a in enumerate(docs) for y, b in enumerate(docs) if x != y}
+    root = list(range(len(docs)))
+    for _ in docs:
+        for (x, y), r in runs.items():
+            if r:
+                root[x] = root[y] = min(root[x], root[y])
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in passages.repeated_passages(df).collect()}
+    for x in range(len(docs)):
+        own = [(y, *r) for y in range(len(docs)) if x != y for r in runs[x, y]]
+        assert got[x]["class_id"] == root[x] and got[x]["n_links"] == len({r[0] for r in own}), x
+        if own:
+            assert (got[x]["first_word"], got[x]["last_word"], got[x]["longest"]) == (min(r[2] for r in own), max(r[3] for r in own), max(r[1] for r in own)), x
+
+
 def test_seeds_cover_runs():
     rng = np.random.default_rng(2)
     need = passages.SEED + passages.WINDOW - 1
