@@ -194,6 +194,42 @@ def test_overlapping_parts_of_one_text_equal_brute_force(spark):
             assert (got[x]["first_word"], got[x]["last_word"], got[x]["longest"]) == (min(r[2] for r in own), max(r[3] for r in own), max(r[1] for r in own)), x
 
 
+def changed_pair(rng, n, share):
+    """Two documents that share n words of which so many are replaced (their first and last are not)."""
+    a = [rng.randrange(1 << 30) for _ in range(n)]
+    b = list(a)
+    for p in rng.sample(range(1, n - 1), int(n * share)):
+        b[p] = rng.randrange(1 << 30)
+    own = [[rng.randrange(1 << 30) for _ in range(rng.randint(0, 30))] for _ in range(4)]
+    return own[0] + a + own[1], own[2] + b + own[3], (len(own[0]), len(own[0]) + n, len(own[2]), len(own[2]) + n)
+
+
+def test_chains_extend_over_changed_words():
+    rng = random.Random(3)
+    for n, share in [(40, 0.2), (50, 0.1), (50, 0.2), (60, 0.15), (80, 0.2)] * 40:
+        u, v, (a, b, c, d) = changed_pair(rng, n, share)
+        at = max((p for p in range(n) if u[a + p] == v[c + p]), key=lambda p: next((k for k in range(n - p) if u[a + p + k] != v[c + p + k]), n - p))
+        core = (a + at, a + at + 1, c + at, c + at + 1)  # a word of the longest equal run
+        if max(at, n - at) > passages.REACH:
+            continue
+        (got,) = passages.aligned([(u, v, core)])
+        assert got is not None and min(got[1] - got[0], got[3] - got[2]) >= passages.PASSAGE, (n, share)
+        assert distance(u[got[0] : got[1]], v[got[2] : got[3]]) <= passages.DIFFER * max(got[1] - got[0], got[3] - got[2])
+    for _ in range(300):
+        a, b = ([rng.randrange(3) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        assert passages.edits(a, b, 20) == distance(a, b)
+
+
+def test_passages_with_changed_words(spark):
+    rng, docs = random.Random(8), []
+    for n, share in [(50, 0.1), (50, 0.2), (60, 0.2), (80, 0.2)] * 25:
+        docs += changed_pair(rng, n, share)[:2]
+    df = spark.createDataFrame([(d, " ".join(f"w{x}" for x in t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in passages.repeated_passages(df).collect()}
+    assert sum(got[d] == got[d + 1] == d for d in range(0, len(docs), 2)) >= 95
+    assert all(got[d] in (d, d - d % 2) for d in got)
+
+
 def test_seeds_cover_runs():
     rng = np.random.default_rng(2)
     need = passages.SEED + passages.WINDOW - 1
