@@ -6,7 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,10 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset on one machine (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="sparsolve-")
@@ -43,9 +44,6 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_open: weakref.WeakSet = weakref.WeakSet()
-
-
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
@@ -186,8 +184,11 @@ def _places(ids: np.ndarray, bits: int) -> np.ndarray:
 
 def mark(words: np.ndarray, ids: np.ndarray) -> None:
     """Notes the ids (longs) in a filter of 64-bit words."""
-    at = _places(ids, int(len(words) * 64).bit_length() - 1)
-    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    at = np.unique(_places(ids, int(len(words) * 64).bit_length() - 1))
+    if len(at):
+        word = (at >> np.uint64(6)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        words[word[first]] |= np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
 
 
 def spotted(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -196,6 +197,14 @@ def spotted(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def spare(names: Iterable[str], wish: str) -> str:
+    """A column name like `wish` that none of the names is equal to, in whatever case."""
+    taken = {n.lower() for n in names}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def filter_rows(words: np.ndarray) -> tuple[list[int], list[bytes]]:
     """A task's filter as the rows that `filter_sum` takes."""
     used = [c for c in range(len(words) // _FILTER_CHUNK) if words[c * _FILTER_CHUNK : (c + 1) * _FILTER_CHUNK].any()]

@@ -4,8 +4,8 @@ Lines of at least `FUZZY` code points that are within `EDITS` edits of each othe
 Of two lines within t edits, the shorter one cut into t + 1 even segments has a segment that the longer one holds, at a
 place that the lengths and the segment's number narrow down.  So each line indexes its segments under (number, length,
 hash), and probes, for each length from its own down to t less, the substrings at the few places where that
-segment may stand.  A filter of fixed size over all indexed segments spares most probes.  Shared keys give candidates as
-`linking` has it; a banded bit-parallel edit distance decides, after equal ends are cut off.
+segment may stand.  Filters of fixed size spare most probes (no such segment) and most segments (neither probed nor another line's too).
+Shared keys give candidates as `linking` has it; a banded bit-parallel edit distance decides, after equal ends are cut off.
 """
 
 from __future__ import annotations
@@ -20,14 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, filter_rows, filter_sum, mark, pieces, seen_bits, spotted
-from .linking import Linker
+from .common import Scratch, added_up, mix, pieces, seen_bits, signed, spotted
+from .linking import Linker, salted
 
 EDITS = 2
 #: Code points from which lines may differ by edits.
 FUZZY = 24
-#: Bits of the filter of indexed segments.
+#: Bits of each filter of indexed segments, and of the one of probed segments.
 SEGMENT_BITS = 26
+PROBE_BITS = 25
+#: Words of a filter that travel together.
+_CHUNK = 4096
 #: Buckets of a line's histogram of code points.
 BUCKETS = 128
 #: Entries after which a task's memory of lines that it has looked at starts anew.
@@ -50,24 +53,122 @@ def segments(n: int, t: int) -> list[tuple[int, int]]:
     return out
 
 
-def _key(number: int, n: int, piece: str) -> int:
-    return xxhash.xxh3_64_intdigest(piece, seed=n * 64 + number) - (1 << 63)
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones((2, 1), np.uint64)
+
+
+def _power_table(n: int) -> np.ndarray:
+    """The first n powers of _BASE modulo 2 ** 64, and of its inverse."""
+    global _powers
+    if _powers.shape[1] < n:
+        steps = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64)
+        _powers = np.multiply.accumulate(np.hstack([np.ones((2, 1), np.uint64), np.repeat(steps, 2 * n, 1)]), axis=1)
+    return _powers
+
+
+def places(t: int) -> list[tuple[int, int, int]]:
+    """(delta, number, shift): a segment of that number, of a line shorter by delta, may stand so far from its own place in this line; a line's own segments left out."""
+    return [(delta, k, q) for delta in range(t + 1) for k in range(t + 1) for q in range(max(-k, delta - t + k), min(k, delta + t - k) + 1) if delta or q]
+
+
+def line_keys(own: list[str], t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the lines' segments (lines x segments), of the substrings where other lines' segments may stand (lines x places), and which of these places there are.
+
+    A key is of (segment's number, length of its line, substring); substrings have rolling hashes, from sums over a prefix of the line."""
+    n = np.fromiter(map(len, own), np.int64, len(own))
+    start = np.cumsum(n) - n
+    pos = np.arange(int(n.sum())) - np.repeat(start, n)
+    power, inverse = _power_table(int(n.max(initial=0)) + 1)
+    code = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(mix(code + np.uint64(1)) * power[pos], out=sums[1:])
+
+    def key(k: int, other: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = (sums[start + at + size] - sums[start + at]) * inverse[at]
+        return signed(mix(h + (other * 64 + k).astype(np.uint64) * np.uint64(_BASE)))
+
+    def segment(k: int, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        base, longer = np.divmod(other, t + 1)
+        return k * base + np.maximum(0, k - (t + 1 - longer)), base + (k > t - longer)
+
+    index = np.stack([key(k, n, *segment(k, n)) for k in range(t + 1)], 1)
+    probes, there = np.zeros((len(own), len(places(t))), np.int64), np.zeros((len(own), len(places(t))), bool)
+    for c, (delta, k, q) in enumerate(places(t)):
+        other = np.maximum(n - delta, 0)
+        at, size = segment(k, other)
+        at = at + q
+        there[:, c] = (n - delta > t) & (at >= 0) & (at + size <= n)
+        probes[:, c] = key(k, other, np.where(there[:, c], at, 0), np.where(there[:, c], size, 0))
+    return index, probes, there
 
 
 def index_keys(line: str, t: int) -> list[int]:
-    n = len(line)
-    return [_key(k, n, line[s : s + size]) for k, (s, size) in enumerate(segments(n, t))]
+    return line_keys([line], t)[0][0].tolist()
 
 
 def probe_keys(line: str, t: int) -> list[int]:
     """Keys of the substrings that may equal a segment of another line, as long or up to t shorter; those of its own segments left out."""
-    n, out = len(line), []
-    for other in range(max(t + 1, n - t), n + 1):
-        delta = n - other
-        for k, (s, size) in enumerate(segments(other, t)):
-            low, high = max(s - k, s + delta - (t - k), 0), min(s + k, s + delta + (t - k), n - size)
-            out += [_key(k, other, line[p : p + size]) for p in range(low, high + 1) if delta or p != s]
-    return out
+    _, probes, there = line_keys([line], t)
+    return probes[there].tolist()
+
+
+def _spans(own: list[str], chars: int = 1 << 20) -> Iterator[slice]:
+    """Slices of lines of so many code points together, or of one line."""
+    at = total = 0
+    for k, line in enumerate(own):
+        if total and total + len(line) > chars:
+            yield slice(at, k)
+            at, total = k, 0
+        total += len(line)
+    if at < len(own):
+        yield slice(at, len(own))
+
+
+class Tally:
+    """A filter with two places a key that also tells keys noted once from those noted again."""
+
+    def __init__(self, words: np.ndarray | None = None):
+        """words: rows of `_CHUNK` words of the first filter and as many of the second."""
+        self.words = np.zeros(((1 << SEGMENT_BITS) // 64 // _CHUNK, 2, _CHUNK), np.uint64) if words is None else words
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        h = mix(np.ascontiguousarray(keys).view(np.uint64))
+        return np.stack([h >> np.uint64(64 - SEGMENT_BITS), (h >> np.uint64(8)) & np.uint64((1 << SEGMENT_BITS) - 1)])
+
+    def _bits(self, at: np.ndarray, again: int) -> np.ndarray:
+        word = (at >> np.uint64(6)).astype(np.int64)
+        return (self.words[word // _CHUNK, again, word % _CHUNK] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def _note(self, at: np.ndarray, again: int) -> None:
+        if len(at):  # sorted
+            word = (at >> np.uint64(6)).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            self.words[word[first] // _CHUNK, again, word[first] % _CHUNK] |= np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+
+    def note(self, keys: np.ndarray) -> None:
+        at, n = np.unique(self._at(keys).ravel(), return_counts=True)
+        self._note(at[(n > 1) | self._bits(at, 0)], 1)
+        self._note(at, 0)
+
+    def noted(self, keys: np.ndarray, again: bool = False) -> np.ndarray:
+        return self._bits(self._at(keys), int(again)).all(0)
+
+    def rows(self) -> tuple[list[int], list[bytes]]:
+        used = np.flatnonzero(self.words.any((1, 2))).tolist()
+        return used, [self.words[c].tobytes() for c in used]
+
+    @staticmethod
+    def together(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        """Two tasks' parts of filters as one: what both noted was noted again."""
+        if isinstance(a, int):
+            return b
+        a, b = a.reshape(2, _CHUNK), b.reshape(2, _CHUNK)
+        return np.stack([a[0] | b[0], a[1] | b[1] | (a[0] & b[0])]).ravel()
+
+    @classmethod
+    def of(cls, partial: DataFrame) -> Tally:
+        words = added_up(partial, (1 << SEGMENT_BITS) // 64 * 2, 2 * _CHUNK, cls.together)
+        return cls(words.view(np.uint64).reshape(-1, 2, _CHUNK))
 
 
 def within(a: str, b: str, t: int) -> bool:
@@ -141,14 +242,14 @@ class LineDedup:
         self.edits, self.fuzzy, self.spark = edits, fuzzy, docs.sparkSession
         self.scratch = Scratch(self.spark, "lines")
 
-    def occurrences(self) -> tuple[DataFrame, np.ndarray]:
-        """(doc, digest, line, id, n) of lines that aren't blank, a row with nulls for texts without, and the filter of indexed segments."""
+    def occurrences(self) -> tuple[DataFrame, DataFrame]:
+        """(doc, digest, line, id, n) of lines that aren't blank, a row with nulls for texts without; and what `keys` takes."""
         edits, fuzzy = self.edits, self.fuzzy
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, seen = np.zeros((1 << SEGMENT_BITS) // 64, np.uint64), set()
+            tally, seen = Tally(), set()
             for b in pieces(batches):
-                rows, keys = [], []
+                rows, new, at = [], [], []
                 for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
                     text = text or ""
                     digest, before = line_id(text), len(rows)
@@ -156,53 +257,62 @@ class LineDedup:
                         if not line or line.isspace():
                             continue
                         i = line_id(line)
-                        rows.append((doc, digest, k, i, len(line)))
                         if len(line) >= fuzzy and i not in seen:
                             if len(seen) > SEEN:
                                 seen.clear()
                             seen.add(i)
-                            keys += index_keys(line, edits)
+                            new.append(line)
+                            at.append(len(rows))
+                        rows.append((doc, digest, k, i, len(line)))
                     if len(rows) == before:
                         rows.append((doc, digest, None, None, None))
-                mark(words, np.array(keys, np.int64))
+                made = [line_keys(new[x], edits) for x in _spans(new)]
+                index = np.concatenate([x[0] for x in made]) if made else np.empty((0, edits + 1), np.int64)
+                probes = [x[1][x[2]] for x in made]
+                if len(index):
+                    tally.note(index.ravel())
+                held = np.zeros((2, len(rows)), np.int64)
+                held[0, at] = edits + 1
+                held[1, at] = np.concatenate([x[2].sum(1) for x in made]) if made else 0
+                ends = np.hstack([np.zeros((2, 1), np.int64), held.cumsum(1)]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(v)) for e, v in zip(ends, (index.ravel(), np.concatenate(probes) if probes else np.empty(0, np.int64)), strict=True)]
                 if rows:
                     n = len(rows)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-            chunks, counts = filter_rows(words)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(chunks), pa.int64())] * 5, pa.array(chunks, pa.int32()), pa.array(counts, pa.binary())], names)
-
-        names = ["doc", "digest", "line", "id", "n", "chunk", "counts"]
-        both = self.scratch.save(self.docs.mapInArrow(run, "doc long, digest long, line long, id long, n long, chunk int, counts binary"), "lines")
-        return both.where("chunk is null").select(*names[:5]), filter_sum(both.where("chunk is not null").select("chunk", "counts"), SEGMENT_BITS)
-
-    def keys(self, filter_: np.ndarray) -> DataFrame:
-        """(key, salt, split, id, n) of lines long enough to differ by edits."""
-        sent, edits, fuzzy = self.spark.sparkContext.broadcast(filter_), self.edits, self.fuzzy  # 2 ** SEGMENT_BITS bits
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, seen = sent.value, set()
-            for b in pieces(batches):
-                ids, sizes, keys, own = [], [], [], []
-                for text in b.column("text").to_pylist():
-                    for line in (text or "").split("\n"):
-                        if len(line) < fuzzy or line.isspace() or (i := line_id(line)) in seen:
-                            continue
-                        if len(seen) > SEEN:
-                            seen.clear()
-                        seen.add(i)
-                        index, probes = index_keys(line, edits), probe_keys(line, edits)
-                        n = len(index) + len(probes)
-                        ids += [i] * n
-                        sizes += [len(line)] * n
-                        keys += index + probes
-                        own += [True] * len(index) + [False] * len(probes)
-                if ids:
-                    keys = np.array(keys, np.int64)
-                    kept = np.array(own) | spotted(words, keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(np.array(ids, np.int64)[kept]), pa.array(np.array(sizes, np.int64)[kept])], ["key", "id", "n"])
-
-        found = self.docs.select("text").mapInArrow(run, "key long, id long, n long")
-        return found.select("key", F.lit(0).cast("long").alias("salt"), F.lit(False).alias("split"), "id", "n", F.lit(0.0).alias("w"))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), *lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            chunks, counts = tally.rows()
+            none = pa.nulls(len(chunks), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(chunks), pa.int64())] * 5, none, none, pa.array(chunks, pa.int32()), pa.array(counts, pa.binary())], names)
+
+        names = ["doc", "digest", "line", "id", "n", "own", "probes", "chunk", "counts"]
+        both = self.scratch.save(self.docs.mapInArrow(run, "doc long, digest long, line long, id long, n long, own array<long>, probes array<long>, chunk int, counts binary"), "lines")
+        return both.where("chunk is null").select(*names[:5]), both
+
+    def keys(self, looked: DataFrame) -> DataFrame:
+        """(key, id, n) of lines long enough to differ by edits: probes for which there may be a segment, and segments that are probed or that several lines have."""
+        tally = Tally.of(looked.where("chunk is not null").select("chunk", "counts"))
+        lines = looked.where("size(own) > 0")
+
+        def flat(column: str, wanted) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                want = wanted()
+                for b in batches:
+                    held = b.column(column)
+                    keys = held.flatten().to_numpy()
+                    row = np.repeat(np.arange(b.num_rows), held.value_lengths().to_numpy(zero_copy_only=False))
+                    kept = want(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), *(b.column(c).take(pa.array(row[kept])) for c in ("id", "n"))], ["key", "id", "n"])
+
+            return lines.select("id", "n", column).mapInArrow(run, "key long, id long, n long")
+
+        sent = self.spark.sparkContext.broadcast(tally.words)  # twice 2 ** SEGMENT_BITS bits
+        probes = self.scratch.save(flat("probes", lambda: Tally(sent.value).noted), "probes")
+        asked = self.spark.sparkContext.broadcast(seen_bits(probes, "key", PROBE_BITS))  # 2 ** PROBE_BITS bits
+
+        def useful():
+            own, bits = Tally(sent.value), asked.value
+            return lambda keys: own.noted(keys, True) | spotted(bits, keys)
+
+        return probes.unionByName(flat("own", useful))
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """(id, t) of the given lines."""
@@ -248,10 +358,10 @@ class LineDedup:
 
     def removed(self) -> tuple[DataFrame, DataFrame]:
         """(doc, digest, line, first_doc, first_line) of lines with an earlier duplicate; and all occurrences."""
-        all_, filter_ = self.occurrences()
+        all_, looked = self.occurrences()
         lines = all_.where("id is not null")
         edits = self.edits
-        roots = Linker(self.scratch, lambda a, b: F.expr(f"abs({a} - {b}) <= {edits}"), self.verify, self.signatures, FewEdits(edits)).roots(self.keys(filter_))
+        roots = Linker(self.scratch, lambda a, b: F.expr(f"abs({a} - {b}) <= {edits}"), self.verify, self.signatures, FewEdits(edits)).roots(salted(self.scratch.save(self.keys(looked), "keys")))
         first = F.min(F.struct("doc", "line", "digest")).alias("f")
         own = lines.groupBy("id").agg(first, F.count("*").alias("c"))
         rooted = self.scratch.save(own.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "firsts")
@@ -280,33 +390,35 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, fuzzy: int = FUZZY) ->
 def without_duplicates(docs: DataFrame, edits: int = EDITS, fuzzy: int = FUZZY) -> DataFrame:
     """The documents with the lines taken out that `duplicate_lines` removes, n_chars (if there) brought up to date.
 
-    Documents of which no line is left, though they had some, go; all other columns stay as they are."""
+    Documents of which no line is left, though they had some, go; all other columns stay as they are, whatever their names.
+    Repeated rows are one document, so all of them stay, with the same lines.  Null and empty texts stay; so does an empty table."""
     job = LineDedup(docs, edits, fuzzy)
     again, _ = job.removed()
-    gone = again.groupBy("doc", "digest").agg(F.collect_set("line").alias("_gone"))  # a document's lines at most
-    kept = docs.columns
+    gone = again.groupBy("doc", "digest").agg(F.collect_set("line").alias("gone"))  # a document's lines at most
+    kept, held = docs.columns, "n_chars" in docs.columns
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             digest = [line_id(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digest, pa.int64())], [*kept, "digest"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digest, pa.int64())], ["row", "doc", "text", "digest"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             texts, ok = [], []
-            for text, lines_ in zip(b.column("text").to_pylist(), b.column("_gone").to_pylist(), strict=True):
+            for text, lines_ in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
                 left = text
                 if lines_:
                     own = set(lines_)
                     left = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in own)
                 texts.append(left)
                 ok.append(not lines_ or bool(left.strip()))
-            new = {"text": pa.array(texts, pa.string())}
-            if "n_chars" in kept:
-                new["n_chars"] = pa.array([n if not g or t is None else len(t) for n, g, t in zip(b.column("n_chars").to_pylist(), b.column("_gone").to_pylist(), texts, strict=True)], b.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in kept], kept).filter(pa.array(ok, pa.bool_()))
-
-    with_digest = docs.mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField("digest", T.LongType())]))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    found = with_digest.withColumn("doc", key).join(gone, ["doc", "digest"], "left").select(*kept, "_gone")
-    return found.mapInArrow(cut, docs.schema)
+            n = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), n, b.column("gone").is_valid()], ["row", "text", "n", "cut"]).filter(pa.array(ok, pa.bool_()))
+
+    # a row travels in a struct of its own, so its columns' names can't clash with those needed here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+    fields = [T.StructField("row", rows.schema["row"].dataType), T.StructField("doc", T.LongType()), T.StructField("text", T.StringType())]
+    found = rows.mapInArrow(keyed, T.StructType([*fields, T.StructField("digest", T.LongType())])).join(gone, ["doc", "digest"], "left").select("row", "text", "gone")
+    left = found.mapInArrow(cut, T.StructType([fields[0], fields[2], T.StructField("n", T.LongType()), T.StructField("cut", T.BooleanType())]))
+    new = {"text": F.col("text")} | ({"n_chars": F.when(F.col("cut"), F.col("n").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))} if held else {})
+    return left.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in kept))

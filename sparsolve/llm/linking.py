@@ -27,10 +27,22 @@ STARS = 1
 #: Nodes of a block.
 BLOCK = 4096
 
+#: Nodes of a part of a key's list.
+SALT = 2048
+
 #: near(signature, size, signatures, sizes): which of the others may be similar; signatures as rows of uint16.
 Near = Callable[[np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
 
 
+def salted(rows: DataFrame) -> DataFrame:
+    """(key, id, n) as (key, salt, split, id, n, w): lists of over SALT nodes in parts of about that size.
+
+    The counts of the long lists are at most one row per SALT rows."""
+    many = rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > SALT)
+    parts = F.coalesce(F.col("many") / SALT + 1, F.lit(1)).cast("long")
+    return rows.join(many, "key", "left").select("key", F.pmod(F.xxhash64("id"), parts).alias("salt"), (parts > 1).alias("split"), "id", "n", F.lit(0.0).alias("w"))
+
+
 class Linker:
     def __init__(self, scratch: Scratch, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame | None], signatures: Callable[[DataFrame], DataFrame], near: Near):
         """fits: whether nodes of these sizes (columns) may be similar; verify: those of the pairs (u, v) that are, or None; signatures: (id, sig) of the nodes in a table of ids."""
