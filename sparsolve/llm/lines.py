@@ -314,8 +314,8 @@ class LineDedup:
 
         return probes.unionByName(flat("own", useful))
 
-    def texts(self, ids: DataFrame) -> DataFrame:
-        """(id, t) of the given lines."""
+    def look_up(self, ids: DataFrame) -> None:
+        """Writes (id, t) of the given lines, once for all comparisons."""
         sent, fuzzy = self.spark.sparkContext.broadcast(seen_bits(ids, "id")), self.fuzzy  # 2 ** FILTER_BITS bits
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +329,7 @@ class LineDedup:
                 seen.update(at)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([lines[i] for i in at], pa.string())], ["id", "t"])
 
-        return self.scratch.save(self.docs.select("text").mapInArrow(look, "id long, t string").dropDuplicates(["id"]).join(ids, "id", "left_semi"), "texts")
+        self.texts = self.scratch.save(self.docs.select("text").mapInArrow(look, "id long, t string").dropDuplicates(["id"]).join(ids, "id", "left_semi"), "texts")
 
     def signatures(self, ids: DataFrame) -> DataFrame:
         """(id, sig): how often each of BUCKETS kinds of code points stands in a line."""
@@ -339,7 +339,7 @@ class LineDedup:
                 sig = [np.minimum(np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % BUCKETS, minlength=BUCKETS), 65535).astype(np.uint16).tobytes() for t in b.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sig, pa.binary())], ["id", "sig"])
 
-        return self.texts(ids).mapInArrow(run, "id long, sig binary")
+        return self.texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, sig binary")
 
     def verify(self, pairs: DataFrame) -> DataFrame | None:
         pairs = self.scratch.save(pairs, "pairs")
@@ -352,8 +352,7 @@ class LineDedup:
                 ok = [within(x, y, edits) for x, y in zip(b.column("ut").to_pylist(), b.column("vt").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-        texts = self.texts(pairs.selectExpr("u id").union(pairs.selectExpr("v id")).distinct())
-        both = pairs.join(texts.selectExpr("id u", "t ut"), "u").join(texts.selectExpr("id v", "t vt"), "v")
+        both = pairs.join(self.texts.selectExpr("id u", "t ut"), "u").join(self.texts.selectExpr("id v", "t vt"), "v")
         return self.scratch.save(both.select("u", "v", "ut", "vt").mapInArrow(check, "u long, v long"), "links")
 
     def removed(self) -> tuple[DataFrame, DataFrame]:
@@ -361,7 +360,7 @@ class LineDedup:
         all_, looked = self.occurrences()
         lines = all_.where("id is not null")
         edits = self.edits
-        roots = Linker(self.scratch, lambda a, b: F.expr(f"abs({a} - {b}) <= {edits}"), self.verify, self.signatures, FewEdits(edits)).roots(salted(self.scratch.save(self.keys(looked), "keys")))
+        roots = Linker(self.scratch, lambda a, b: F.expr(f"abs({a} - {b}) <= {edits}"), self.verify, self.signatures, FewEdits(edits), self.look_up).roots(salted(self.scratch.save(self.keys(looked), "keys")))
         first = F.min(F.struct("doc", "line", "digest")).alias("f")
         own = lines.groupBy("id").agg(first, F.count("*").alias("c"))
         rooted = self.scratch.save(own.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "firsts")

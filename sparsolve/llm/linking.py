@@ -44,9 +44,10 @@ def salted(rows: DataFrame) -> DataFrame:
 
 
 class Linker:
-    def __init__(self, scratch: Scratch, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame | None], signatures: Callable[[DataFrame], DataFrame], near: Near):
-        """fits: whether nodes of these sizes (columns) may be similar; verify: those of the pairs (u, v) that are, or None; signatures: (id, sig) of the nodes in a table of ids."""
-        self.scratch, self.fits, self.verify, self.signatures, self.near = scratch, fits, verify, signatures, near
+    def __init__(self, scratch: Scratch, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame | None], signatures: Callable[[DataFrame], DataFrame], near: Near, ready: Callable[[DataFrame], None] = lambda ids: None, short: int | None = None):
+        """short: lists of up to so many nodes give all their pairs; ready: told the ids of all nodes that may stand in pairs; fits: whether nodes of these sizes (columns) may be similar; verify: those of the pairs (u, v) that are, or None; signatures: (id, sig) of the nodes in a table of ids."""
+        self.scratch, self.fits, self.verify, self.signatures, self.near, self.ready = scratch, fits, verify, signatures, near, ready
+        self.short = SHORT if short is None else short
 
     def lists(self, rows: DataFrame) -> DataFrame:
         """Of (key, salt, split, id, n, w), those whose part of a key has several nodes, with its size and hub."""
@@ -60,18 +61,18 @@ class Linker:
         return rows.where("x <> y").where(self.fits("xn", "yn")).selectExpr("least(x, y) u", "greatest(x, y) v").distinct()
 
     def first_pairs(self, lists: DataFrame) -> DataFrame:
-        star = lists.where(f"size > {SHORT}").selectExpr("id x", "n xn", "hub y", "hub_n yn")
+        star = lists.where(f"size > {self.short}").selectExpr("id x", "n xn", "hub y", "hub_n yn")
         hubs = lists.where("split").select("key", "hub", "hub_n", "hub_w").distinct()
         top = F.max(F.struct("hub_w", F.xxhash64("hub").alias("r"), F.col("hub").alias("id"), F.col("hub_n").alias("n"))).over(W.partitionBy("key"))
         over = hubs.withColumn("h", top).selectExpr("hub x", "hub_n xn", "h.id y", "h.n yn")
-        # the pairs of a short list, made where the list is: at most SHORT per row
-        short = lists.where(f"size <= {SHORT}").groupBy("key", "salt").agg(F.collect_list(F.struct("id", "n")).alias("l"))
+        # the pairs of a short list, made where the list is: at most `short` per row
+        short = lists.where(f"size <= {self.short}").groupBy("key", "salt").agg(F.collect_list(F.struct("id", "n")).alias("l"))
         each = short.select("l", F.explode("l").alias("x")).select("x", F.explode("l").alias("y")).where("x.id < y.id").selectExpr("x.id x", "x.n xn", "y.id y", "y.n yn")
         return self._pairs(star.unionByName(over).unionByName(each))
 
     def later_pairs(self, lists: DataFrame, roots: DataFrame, turn: int) -> DataFrame | None:
         """Pairs of different components on long or split lists: stars for the first turns, all that are left at last; None if no list mixes components."""
-        long = lists.where(f"split or size > {SHORT}").select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        long = lists.where(f"split or size > {self.short}").select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = long.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         open_ = self.scratch.save(long.join(mixed, "key"), "open")
         if open_.isEmpty():
@@ -112,6 +113,7 @@ class Linker:
     def roots(self, rows: DataFrame) -> DataFrame:
         """(id, root) of all nodes that have a link, root being the least id of the component; rows: (key, salt, split, id, n, w)."""
         lists = self.lists(rows)
+        self.ready(lists.select("id").distinct())
         links = self.verify(self.first_pairs(lists))
         roots = connected(self.scratch, links if links is not None else self.scratch.spark.createDataFrame([], "u long, v long"))
         for turn in range(1, STARS + 2):

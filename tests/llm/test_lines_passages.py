@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from sparsolve.llm import linking, lines, passages
+from sparsolve.llm import common, linking, lines, passages
 
 
 def distance(a, b):
@@ -139,38 +139,84 @@ def passage_docs(seed):
     return docs, holds
 
 
-@pytest.mark.parametrize("short", [8, 2])
-def test_passages(spark, monkeypatch, short):
+def brute_passages(rows):
+    """class_id, n_class, n_passages, n_words, first_word, last_word, longest of each document, every pair of texts looked at."""
+    texts = defaultdict(set)
+    for d, t in rows:
+        if d is not None and t is not None and len(common.plain_words(t.encode())) >= passages.PASSAGE:
+            texts[t].add(d)
+    known, of = sorted(texts), {}
+    for t in known:
+        h = common.word_hashes(common.plain_words(t.encode()))
+        at, own = passages.seeds(h)
+        of[t] = (common.signed(own), at, common.signed(h).astype(np.int32))
+    count = defaultdict(int)
+    for t in known:
+        for k in set(of[t][0].tolist()):
+            count[k] += 1
+    keys = {}
+    for t in known:
+        h, at, _ = of[t]
+        often = np.array([count[k] > passages.RARE for k in h.tolist()], bool)
+        far = {(int(a), int(b)) for x, a in zip(at[often], h[often]) for y, b in zip(at[often], h[often]) if passages.NEAR <= y - x <= passages.FAR}
+        keys[t] = {k for k in h.tolist() if count[k] <= passages.RARE} | far
+    root = {t: t for t in known}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for n, u in enumerate(known):
+        for v in known[n + 1 :]:
+            if texts[u] & texts[v] or (keys[u] & keys[v] and passages.shared_passages([(of[u], of[v])])[0]):
+                root[find(u)] = find(v)
+    members = defaultdict(list)
+    for t in known:
+        members[find(t)].append(t)
+    out = {}
+    for own in members.values():
+        docs = set().union(*(texts[t] for t in own))
+        for t in own:
+            others = {k for x in own if x != t for k in of[x][0].tolist()}
+            at = np.array([p for p, k in zip(of[t][1].tolist(), of[t][0].tolist()) if k in others], np.int64)
+            runs = [(0, len(of[t][2]))] if len(texts[t]) > 1 else passages.runs_of(at) if len(own) > 1 and len(at) else []
+            for d in texts[t]:
+                was = out.get(d, (0, 0, 0, 0, None, None, None))
+                some = [x for x in (was[4:] if was[4] is not None else None, (runs[0][0], runs[-1][1], max(e - s for s, e in runs)) if runs else None) if x]
+                ends = (min(x[0] for x in some), max(x[1] for x in some), max(x[2] for x in some)) if some else (None, None, None)
+                out[d] = (min(docs), len(docs), was[2] + len(runs), was[3] + sum(e - s for s, e in runs), *ends)
+    return {d: out.get(d, (d, 1, 0, 0, None, None, None)) for d, _ in rows}
+
+
+def found_passages(spark, rows):
+    df = spark.createDataFrame([(*r, "q", 1) for r in rows], "doc_id long, text string, class_id string, root int")
+    got = {r["doc_id"]: tuple(r)[1:] for r in passages.repeated_passages(df).collect()}
+    assert len(got) == len({d for d, _ in rows})
+    return got
+
+
+@pytest.mark.parametrize(("short", "rare"), [(2, 8), (3, 2), (10**9, 8)])
+def test_passages(spark, monkeypatch, short, rare):
     monkeypatch.setattr(passages, "SHORT", short)
+    monkeypatch.setattr(passages, "RARE", rare)
+    monkeypatch.setattr(linking, "BLOCK", 10)
+    monkeypatch.setattr(linking, "SALT", 5)
     rows, holds = passage_docs(1)
-    extra = [(100, None), (101, ""), (102, "too short"), (None, rows[0][1]), (0, rows[0][1]), (103, "same word " * 40000), (104, "same word " * 300)]
-    df = spark.createDataFrame([(d, t, "q") for d, t in rows + extra], "doc_id long, text string, class_id string")
-    got = {r["doc_id"]: r for r in passages.repeated_passages(df).collect()}
-    assert len(got) == 66
+    extra = [(100, None), (101, ""), (102, "too short"), (None, rows[0][1]), (0, rows[1][1] + " more"), (0, rows[0][1]), (103, "same word " * 40000), (104, "same word " * 300), (105, rows[3][1]), (106, rows[3][1].upper())]
+    got = found_passages(spark, rows + extra)
+    want = brute_passages(rows + extra)
+    want[None] = (None, 1, 0, 0, None, None, None)
+    assert got == want
     for own in holds.values():
-        assert {got[d]["class_id"] for d in own} == {min(own)} and all(got[d]["n_links"] > 0 and got[d]["longest"] >= 50 for d in own)
-    assert all(got[d]["class_id"] == d and got[d]["n_links"] == 0 and got[d]["longest"] is None for d, _ in rows if d % 2)
-    assert all(got[d]["n_links"] == 0 for d in (100, 101, 102)) and got[None]["class_id"] is None
-    assert got[103]["class_id"] == 103 and got[104]["class_id"] in (103, 104)  # a phrase over and over: its seeds meet one place of the hub
-    assert passages.repeated_passages(df.limit(0)).collect() == []
-
-
-def longest_runs(a, b):
-    """(length, start, end) in a of the maximal equal runs of a and b."""
-    out = []
-    for shift in range(-len(b) + 1, len(a)):
-        run = 0
-        for i in range(max(0, shift), min(len(a), len(b) + shift) + 1):
-            if i < min(len(a), len(b) + shift) and a[i] == b[i - shift]:
-                run += 1
-            else:
-                if run >= passages.PASSAGE:
-                    out.append((run, i - run, i))
-                run = 0
-    return out
+        assert {got[d][0] for d in own} == {min(own)} and all(got[d][1] >= len(own) and got[d][6] >= passages.PASSAGE - 2 * (passages.WINDOW - 1) for d in own)
+    assert got[103][0] == got[104][0] == 103 and got[105][0] == got[106][0] == 3
+    assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_overlapping_parts_of_one_text_equal_brute_force(spark):
+@pytest.mark.parametrize("short", [2, 10**9])
+def test_overlapping_parts_of_one_text_equal_brute_force(spark, monkeypatch, short):
+    monkeypatch.setattr(passages, "SHORT", short)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     docs = []
@@ -185,13 +231,38 @@ def test_overlapping_parts_of_one_text_equal_brute_force(spark):
         for (x, y), r in runs.items():
             if r:
                 root[x] = root[y] = min(root[x], root[y])
-    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in passages.repeated_passages(df).collect()}
+    rows = [(d, " ".join(t)) for d, t in enumerate(docs)]
+    got = found_passages(spark, rows)
+    assert got == brute_passages(rows)
     for x in range(len(docs)):
-        own = [(y, *r) for y in range(len(docs)) if x != y for r in runs[x, y]]
-        assert got[x]["class_id"] == root[x] and got[x]["n_links"] == len({r[0] for r in own}), x
-        if own:
-            assert (got[x]["first_word"], got[x]["last_word"], got[x]["longest"]) == (min(r[2] for r in own), max(r[3] for r in own), max(r[1] for r in own)), x
+        own = [r for y in range(len(docs)) if x != y for r in runs[x, y]]
+        assert got[x][0] <= root[x], x
+        if own:  # seeds reach to within WINDOW - 1 words of a passage's ends
+            assert got[x][4] <= min(r[1] for r in own) + passages.WINDOW - 1 and got[x][5] >= max(r[2] for r in own) - passages.WINDOW + 1, x
+
+
+def longest_runs(a, b):
+    """(length, start, end) in a of the maximal equal runs of a and b."""
+    out = []
+    for shift in range(-len(b) + 1, len(a)):
+        run = 0
+        for i in range(max(0, shift), min(len(a), len(b) + shift) + 1):
+            if i < min(len(a), len(b) + shift) and a[i] == b[i - shift]:
+                run += 1
+            else:
+                if run >= passages.PASSAGE:
+                    out.append((run, i - run, i))
+                run = 0
+    return out
+
+
+def test_matches_on_one_line_chain_as_others_do():
+    rng = random.Random(4)
+    for _ in range(300):
+        at = sorted(rng.sample(range(400), rng.randint(2, 14)))
+        line = [(x, x + 7) for x in at]
+        slow = passages.chains([*line, (5000, 0)], least=1)  # a match on another line, after all others
+        assert sorted(passages.chains(line, least=1)) == sorted(c for c in slow if c[0] < 5000)
 
 
 def changed_pair(rng, n, share):
