@@ -110,11 +110,14 @@ class Linker:
         found = signed_.groupBy("key", "x", "y").applyInArrow(run, "x long, xn long, y long, yn long")
         return self._pairs(found)
 
-    def roots(self, rows: DataFrame) -> DataFrame:
-        """(id, root) of all nodes that have a link, root being the least id of the component; rows: (key, salt, split, id, n, w)."""
+    def roots(self, rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        """(id, root) of all nodes that have a link, root being the least id of the component; rows: (key, salt, split, id, n, w); more: further pairs (u, v)."""
         lists = self.lists(rows)
-        self.ready(lists.select("id").distinct())
-        links = self.verify(self.first_pairs(lists))
+        ids, first = lists.select("id"), self.first_pairs(lists)
+        if more is not None:
+            ids, first = ids.union(more.select("u")).union(more.select("v")), first.union(more.select("u", "v")).distinct()
+        self.ready(ids.distinct())
+        links = self.verify(first)
         roots = connected(self.scratch, links if links is not None else self.scratch.spark.createDataFrame([], "u long, v long"))
         for turn in range(1, STARS + 2):
             pairs = self.later_pairs(lists, roots, turn)

@@ -154,12 +154,13 @@ def brute_passages(rows):
     for t in known:
         for k in set(of[t][0].tolist()):
             count[k] += 1
-    keys = {}
+    keys, rare = {}, {}
     for t in known:
         h, at, _ = of[t]
         often = np.array([count[k] > passages.RARE for k in h.tolist()], bool)
         far = {(int(a), int(b)) for x, a in zip(at[often], h[often]) for y, b in zip(at[often], h[often]) if passages.NEAR <= y - x <= passages.FAR}
-        keys[t] = {k for k in h.tolist() if count[k] <= passages.RARE} | far
+        keys[t] = far
+        rare[t] = {k: [x[0] for x in passages.signatures(of[t][2], at[list(h).index(k)][None])] for k in set(h.tolist()) if count[k] <= passages.RARE}
     root = {t: t for t in known}
 
     def find(t):
@@ -169,7 +170,8 @@ def brute_passages(rows):
 
     for n, u in enumerate(known):
         for v in known[n + 1 :]:
-            if texts[u] & texts[v] or (keys[u] & keys[v] and passages.shared_passages([(of[u], of[v])])[0]):
+            alike = any((rare[u][k][1] and rare[v][k][1]) or sum((x & y & (1 << 64) - 1).bit_count() for x, y in zip(rare[u][k][0].tolist(), rare[v][k][0].tolist())) >= passages.ALIKE for k in rare[u].keys() & rare[v].keys())
+            if texts[u] & texts[v] or ((alike or keys[u] & keys[v]) and passages.shared_passages([(of[u], of[v])])[0]):
                 root[find(u)] = find(v)
     members = defaultdict(list)
     for t in known:
@@ -203,14 +205,14 @@ def test_passages(spark, monkeypatch, short, rare):
     monkeypatch.setattr(linking, "BLOCK", 10)
     monkeypatch.setattr(linking, "SALT", 5)
     rows, holds = passage_docs(1)
-    extra = [(100, None), (101, ""), (102, "too short"), (None, rows[0][1]), (0, rows[1][1] + " more"), (0, rows[0][1]), (103, "same word " * 40000), (104, "same word " * 300), (105, rows[3][1]), (106, rows[3][1].upper())]
+    extra = [(100, None), (101, ""), (102, "too short"), (None, rows[0][1]), (0, rows[1][1] + " more"), (0, rows[0][1]), (103, "same word " * 40000), (104, "same word " * 300), (107, "three words over " * 300), (108, "own " + "three words over " * 200), (105, rows[3][1]), (106, rows[3][1].upper())]
     got = found_passages(spark, rows + extra)
     want = brute_passages(rows + extra)
     want[None] = (None, 1, 0, 0, None, None, None)
     assert got == want
     for own in holds.values():
         assert {got[d][0] for d in own} == {min(own)} and all(got[d][1] >= len(own) and got[d][6] >= passages.PASSAGE - 2 * (passages.WINDOW - 1) for d in own)
-    assert got[103][0] == got[104][0] == 103 and got[105][0] == got[106][0] == 3
+    assert got[103][0] == 103 and got[104][0] == 104 and got[105][0] == got[106][0] == 3 and got[107][0] == got[108][0] == 107  # one phrase of two words over and over is nothing
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
