@@ -1,10 +1,11 @@
 """Exact top-k inner-product search by exhaustive term-at-a-time accumulation.
 
 Queries come in blocks of bounded size; each is sent to all tasks, which read every row once.  A task holds
-a dense array of scores (queries x rows of a batch) and goes through the terms: a term's postings, weighted
-with each query's weight, are added to the scores.  Terms that nearly every row has are added as one
-tile (a matrix product over these terms), the others are scattered through their postings.  Each task keeps k per query,
+a dense array of scores (some queries x rows of a batch, small enough for the processor's cache) and goes through the terms: of each term,
+the postings of the rows, weighted with the weights of the queries that have it, are scattered into the scores.  Each task keeps k per query,
 by partition selection; the tasks' lists are merged at last.
+
+Scores are exact: sums that stay below 2**53 are held as doubles, those below 2**63 as longs; greater ones can't be returned and raise an error.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ BATCH_ROWS = 4096
 #: Rows and weights of a query block (hashed, so on average): what is sent to all tasks at once.
 BLOCK_QUERIES = 2048
 BLOCK_WEIGHTS = 4_000_000
-#: Share of a batch's rows above which a term's postings are added as part of the dense tile.
-DENSE = 0.25
+#: Queries whose scores with a batch are held together.
+CHUNK_QUERIES = 64
 _NONE = np.int64(-(1 << 62))
 
 
@@ -34,26 +35,39 @@ def whole_weights(column: pa.ListArray, scale: float) -> tuple[np.ndarray, np.nd
     A row that is null, or holds a null or non-finite component, takes no part."""
     flat = column.flatten()
     size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    x = np.floor(scale * flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False))
+    x = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
     out = np.zeros((len(column), int(size.max(initial=0))))
     row = np.repeat(np.arange(len(column)), size)
     out[row, np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)] = x
     ok = column.is_valid().to_numpy(zero_copy_only=False) & np.isfinite(out).all(1)
-    return ok, out
+    with np.errstate(over="ignore", invalid="ignore"):
+        return ok, np.floor(scale * out)
 
 
-def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores of all queries (dense weights) with all rows, term after term; exact for whole numbers below 2**53."""
+def exact_type(queries: np.ndarray, rows: np.ndarray) -> type:
+    """The numbers that hold every score and every sum on the way to it."""
+    terms = min(queries.shape[1], rows.shape[1])
+    if not len(queries) or not len(rows) or not terms:
+        return np.float64
+    most = float((np.abs(queries[:, :terms]) @ np.abs(rows[:, :terms]).max(0)).max()) * (1 + 1e-9)
+    if most < 2.0**53:
+        return np.float64
+    if most < 2.0**62:
+        return np.int64
+    raise OverflowError(f"inner products of up to {most:.3g} don't fit a long")
+
+
+def accumulate(queries: np.ndarray, rows: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """Scores of all queries with all rows, term after term; weights are whole numbers, `kind` holds all sums."""
     terms = min(queries.shape[1], rows.shape[1])
-    scores = np.zeros((len(queries), len(rows)))
-    held = (rows[:, :terms] != 0).mean(0) if len(rows) else np.zeros(terms)
-    tile = np.flatnonzero(held >= DENSE)
-    if len(tile):
-        scores += queries[:, tile] @ rows[:, tile].T
-    for t in np.flatnonzero((held > 0) & (held < DENSE)):
-        posting = np.flatnonzero(rows[:, t])
-        asks = np.flatnonzero(queries[:, t])
-        scores[np.ix_(asks, posting)] += np.outer(queries[asks, t], rows[posting, t])
+    by_query, by_row = queries[:, :terms].T.astype(kind), rows[:, :terms].T.astype(kind)
+    scores = np.zeros((len(queries), len(rows)), kind)
+    for asking, held in zip(by_query, by_row, strict=True):
+        asks, postings = np.flatnonzero(asking), np.flatnonzero(held)
+        if len(asks) == len(scores) and len(postings) == scores.shape[1]:  # everywhere: the same scatter without an index
+            scores += np.multiply.outer(asking, held)
+        elif len(asks) and len(postings):
+            scores[np.ix_(asks, postings)] += np.multiply.outer(asking[asks], held[postings])
     return scores
 
 
@@ -74,17 +88,23 @@ def select(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarr
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
     n, kept = len(ids), min(k + 1, len(ids))  # one more, for the query's own
-    key = accumulate(queries, rows).astype(np.int64) * n + np.arange(n - 1, -1, -1)  # of equal scores the smaller id is higher
-    at = np.argpartition(key, n - kept, axis=1)[:, n - kept :]
-    key = np.take_along_axis(key, at, 1)
-    got = ids[at]
-    return got, np.where(got == own[:, None], _NONE, key // n)
+    got, found, kind = [], [], exact_type(queries, rows)
+    for start in range(0, len(queries), CHUNK_QUERIES):
+        scores = accumulate(queries[start : start + CHUNK_QUERIES], rows, kind)
+        least = np.partition(scores, n - kept, axis=1)[:, n - kept, None]
+        above, level = scores > least, scores == least
+        level &= np.cumsum(level, axis=1, dtype=np.int32) <= kept - above.sum(1, keepdims=True)  # of equal scores the smaller ids
+        at = np.nonzero(above | level)[1].reshape(len(scores), kept)
+        got.append(ids[at])
+        found.append(np.take_along_axis(scores, at, 1).astype(np.int64))
+    ids, scores = (np.concatenate(x) if x else np.zeros((0, kept), np.int64) for x in (got, found))
+    return ids, np.where(ids == own[:, None], _NONE, scores)
 
 
 def topk(rows: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k rows of highest inner product for each query: query_id, rank (from 1), vec_id, score.
 
-    `rows` and `queries` have an id and an array of numbers; weights are floor(scale * x).  Vectors that are null, or hold nulls or
+    `rows` and `queries` have an id and an array of numbers; weights are floor(scale * x), scores exact; if one may reach 2**62 in size, an OverflowError is raised.  Vectors that are null, or hold nulls or
     non-finite components, take no part, nor do rows with a null id; shorter vectors are filled up with zeros.
     A query doesn't find its own id.  Repeated ids: an id comes once in a list, with its highest score; of repeated queries
     the greatest vector asks.  Fewer than k rows: all of them.  Empty tables give no rows.  Other columns are ignored.

@@ -127,6 +127,36 @@ def test_skip_edges_carry_labels():
     assert sorted(map(tuple, same.edges.tolist())) == [(0, 1, 0), (0, 1, 1), (1, 2, 0), (1, 2, 2)]
 
 
+def test_field_finds_what_patterns_miss(spark):
+    """Secrets, a card that a pattern lost to the number beside it, and a repeat: the field's work, as none of it comes without."""
+    rng = random.Random(2)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+
+    def card():
+        digits = "".join(rng.choice("0123456789") for _ in range(15))
+        return next(digits + x for x in "0123456789" if pii.luhn(digits + x))
+
+    texts = [f'some words token = "{hexes()}" and others' for _ in range(60)] + [f"paid with {card()} today" for _ in range(80)] + [f"order {card()[:8]}x and version {k}.{k % 3}" for k in range(40)]
+    texts += [f"order {str(int(card()) + 1)} was sent" for _ in range(80)]  # a number that fails the check is none
+    a, b, c = hexes(), card(), card()
+    other = str(int(card()) + 1)
+    texts += [f'first {a} then token = "{a}" again', f"numbers {b} {other} here", f"paid {c}, see {c} {other}", f"name key={a}."]
+    field = pii.fit(frame(spark, texts))
+    assert field.recall is not None and field.recall >= 0.9
+    got = [r["spans"] for r in pii.find(frame(spark, texts), field=field).orderBy("doc_id").collect()]
+    none = pii.find(frame(spark, texts), field=field, sure=1.1).orderBy("doc_id").collect()
+    base = [pii._joined(pii.base_spans(t)) for t in texts]
+    assert [r["spans"] for r in none] == base and all(r["n_added"] == 0 for r in none)
+    place = lambda t, x, at=0: (t.index(x, at), t.index(x, at) + len(x))
+    assert all(g == "secret:%d:%d" % place(t, re.search("[0-9a-f]{40}", t)[0]) for g, t in zip(got[:60], texts[:60]))
+    assert got[60:260] == base[60:260] and "card" in got[60] and not got[180]
+    first, second = place(texts[260], a), place(texts[260], a, 20)
+    assert got[260] == "secret:%d:%d,secret:%d:%d" % (*first, *second)
+    assert got[261] == "card:%d:%d" % place(texts[261], b) and not base[261]
+    assert got[262] == "card:%d:%d,card:%d:%d" % (*place(texts[262], c), *place(texts[262], c, 10))
+    assert got[263] == "secret:%d:%d" % place(texts[263], a)
+
+
 # --- decontamination
 
 
@@ -177,6 +207,25 @@ def test_topk(spark, sparse, monkeypatch):
     assert topk.topk(few, few.where("vec_id = 0")).count() == 2
 
 
+@pytest.mark.parametrize("size", [4e5, 2e6, 1e9])
+def test_topk_is_exact_for_large_components(spark, size):
+    """Sums beyond 2**53, where doubles aren't exact, and what a long can't hold."""
+    rng = random.Random(3)
+    rows = [(k, [float(rng.randint(-int(size), int(size))) for _ in range(8)]) for k in range(300)] + [(300, [size] * 8), (301, [1e308] * 8 if size == 1e9 else [None] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = df.where("vec_id in (0, 50, 300)")
+    if size == 1e9:
+        with pytest.raises(Exception, match="fit a long"):
+            topk.topk(df, ask).collect()
+        return
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.topk(df, ask).collect())
+    whole, want = {k: [math.floor(256 * x) for x in v] for k, v in rows[:301]}, []
+    for q in (0, 50, 300):
+        best = sorted(((-sum(a * b for a, b in zip(whole[q], v)), k) for k, v in whole.items() if k != q))[:5]
+        want += [(q, n, k, -x) for n, (x, k) in enumerate(best, 1)]
+    assert got == want
+
+
 # --- language ID
 
 
