@@ -9,6 +9,7 @@ by their rank among pieces of the same length, which needs counts per task but n
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +26,6 @@ from .common import Scratch, pieces
 
 #: Entries after which a worker's cache of word tokens starts anew.
 CACHE_ENTRIES = 250_000
-#: The only special token of the vocabulary; a text that holds it takes the library's own path.
-SPECIAL = "<|endoftext|>"
 #: Fixed value: the published pre-tokenizer pattern of this byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -36,23 +35,27 @@ class Encoder:
 
     A space before anything but white space always opens a pre-token, so such a text is the join of its
     space-separated chunks, and chunks are looked up in a cache.  Texts with a space before white space or at
-    the end are encoded whole.
+    the end are encoded whole.  Texts that hold an added token, and all texts if the file describes any other kind of tokenizer, take
+    the library's own path.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        vocab = self.whole.get_vocab(with_added_tokens=False)
-        byte = {c: b for b, c in _byte_chars().items()}
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token != SPECIAL}
-        self.bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.first, self.rest = {}, {}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.special = tuple(x["content"] for x in told.get("added_tokens") or ())
+        self.bpe, self.rest = None, {}
+        if byte_level(told):
+            byte = {c: b for b, c in _byte_chars().items()}
+            ranks = {bytes(byte[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in self.special}
+            self.bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if SPECIAL in text:
+        if self.bpe is None or any(x in text for x in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         head, *tail = text.split(" ")
         got = list(map(self.rest.get, tail))
@@ -71,6 +74,19 @@ class Encoder:
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
 
+def byte_level(told: dict) -> bool:
+    """Whether a tokenizer file describes plain byte-level BPE: the published pattern, nothing changed before it, merges in the order of ids."""
+    model, pre = told.get("model") or {}, told.get("pre_tokenizer") or {}
+    if told.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or told.get("truncation") or told.get("padding"):
+        return False
+    if model.get("type") != "BPE" or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    added = {x["content"] for x in told.get("added_tokens") or ()}
+    chars, vocab = set(_byte_chars().values()), model["vocab"]
+    ids = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    return None not in ids and ids == sorted(ids) and chars <= vocab.keys() and all(set(t) <= chars for t in vocab.keys() - added) and len(vocab.keys() - added) == len(ids) + len(chars)
+
+
 def _byte_chars() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -163,7 +179,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """Packs all documents (doc_id, text; other columns are ignored) into sequences of at most `capacity` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for), a row per piece.
-    Null and empty texts are the end id alone; repeated rows are packed as often as they come; an empty table gives no rows.
+    Null and empty texts are the end id alone; very long ones are cut into pieces; pieces of equal length take places in any order; repeated rows are packed as often
+    as they come, a null doc_id stays null; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -186,5 +203,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             yield pa.RecordBatch.from_arrays([pa.array(place[c]) if c in place else b.column(c) for c in names], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * ids
-    ranked = made.join(before.select("length", "part", "base"), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base"))
+    # a row per length and task: it grows with the table, so it isn't broadcast
+    ranked = made.join(before.select("length", "part", "base").hint("shuffle_merge"), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base"))
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * ids)

@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 
@@ -69,3 +70,18 @@ def test_pack(spark):
     text = packing.encoder(PATH).whole.decode([i for _, ids in whole for i in ids][:-1])
     assert text == "word " * 90
     assert packing.pack(docs.limit(0), PATH, 32).collect() == []
+
+
+def test_other_tokenizer_files_take_the_library(tmp_path):
+    """Files that aren't plain byte-level BPE give the library's ids, not those of another pattern."""
+    other = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    told = json.loads(open(PATH, encoding="utf-8").read())
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "prefixed.json").write_text(json.dumps(told))
+    told["pre_tokenizer"]["add_prefix_space"] = False
+    told["added_tokens"].append(told["added_tokens"][0] | {"id": 50257, "content": "<sep>", "special": False})
+    (tmp_path / "added.json").write_text(json.dumps(told))
+    for enc, plain in ((other, None), (packing.Encoder(str(tmp_path / "prefixed.json")), True), (packing.Encoder(str(tmp_path / "added.json")), False)):
+        assert plain is None or (enc.bpe is None) == plain
+        for text in ("Hello  world, it's 12 o'clock.", "a<sep>b <|endoftext|> c", " é\n\n x", ""):
+            assert np.frombuffer(enc(text), "<u4").tolist() == enc.whole.encode(text, add_special_tokens=False).ids
