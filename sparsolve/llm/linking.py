@@ -126,4 +126,5 @@ class Linker:
             new = self.verify(pairs)
             if new is not None:
                 roots = connected(self.scratch, roots.selectExpr("id u", "root v").unionByName(new))
+        self.scratch.drop(lists)
         return roots

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparsolve.llm import common, linking, lines, passages
 
@@ -158,9 +159,9 @@ def brute_passages(rows):
     for t in known:
         h, at, _ = of[t]
         often = np.array([count[k] > passages.RARE for k in h.tolist()], bool)
-        far = {(int(a), int(b)) for x, a in zip(at[often], h[often]) for y, b in zip(at[often], h[often]) if passages.NEAR <= y - x <= passages.FAR}
+        far = {(int(h[x]), int(h[y])) for k, x in enumerate(np.flatnonzero(often)) for y in [y for y in np.flatnonzero(often) if passages.NEAR <= at[y] - at[x] <= passages.FAR][: passages.NEXT]}
         keys[t] = far
-        rare[t] = {k: [x[0] for x in passages.signatures(of[t][2], at[list(h).index(k)][None])] for k in set(h.tolist()) if count[k] <= passages.RARE}
+        rare[t] = {k: [x[0] for x in passages.signatures([of[t][2]], [at[list(h).index(k)][None]])] for k in set(h.tolist()) if count[k] <= passages.RARE}
     root = {t: t for t in known}
 
     def find(t):
@@ -335,3 +336,33 @@ def test_pipeline(spark, tmp_path):
     assert set(kept[2]) == {1, 3, 4, 5, 9} and set(kept[3]) == {1, 3, 4, 9}
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == {1, 3, 4, 9}
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Null and repeated ids, equal rows, columns of other names, empty tables: stage by stage."""
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    text = lambda n=60: " ".join(word() for _ in range(n))
+    item, one, two, three = text(30), text(), text(), text()
+    near = one.rsplit(" ", 1)[0] + " else"
+    rows = [(None, one), (5, near), (5, two), (7, two), (7, two), (8, three), (8, text(20) + " " + item), (None, text(10) + " " + item + " end"), (9, ""), (9, None), (None, None), (10, "99 ..."), (11, "x" * 100_000), (11, "x" * 100_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(d, t, None if k % 2 else "en", "s", len(t or "")) for k, (d, t) in enumerate(rows)], schema).withColumns({"KEY": F.lit(1), "digest": F.lit("d"), "score": F.lit(0.5)})
+    shown = lambda out: sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    stage = dict(p.STAGES)
+    told = stage["language ID"](spark, df, str(tmp_path))
+    assert shown(told) == sorted([(d, t) for d, t in rows if t and t != "99 ..."], key=str) and told.where("lang is null").count() == 0
+    assert shown(stage["language ID"](spark, df.withColumn("lang", F.lit(None).cast("string")), str(tmp_path))) == shown(told)  # nothing to learn from
+    left = shown(stage["n-gram Jaccard join"](spark, df, str(tmp_path)))
+    assert left == sorted([(5, near), (5, two), (8, three), *rows[6:13]], key=str)
+    clean = shown(stage["benchmark decontamination"](spark, df, str(tmp_path)))
+    assert clean == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+    lines_ = stage["line dedup"](spark, df, str(tmp_path))
+    assert lines_.columns == list(p.COLUMNS) and {(None, None), (9, None), (9, ""), (5, near)} <= set(shown(lines_))
+    for name, f in p.STAGES:
+        out = f(spark, df.limit(0), str(tmp_path))
+        assert out.collect() == [] and (name == "best-fit packing" or out.columns == list(p.COLUMNS))
