@@ -45,6 +45,38 @@ def lu_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.solve(a, b)
 
 
+def lu_factor(a: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """L (unit diagonal, below) and U of A's rows in the order that partial pivoting gives; by blocks of columns."""
+    n, m = len(a), np.array(a, float)
+    if m.shape != (n, n):
+        raise FactorError("not square")
+    order, small = np.arange(n), n * np.finfo(float).eps * np.abs(m).max(initial=0.0)
+    for start in range(0, n, width):
+        end = min(start + width, n)
+        for k in range(start, end):
+            p = k + int(np.abs(m[k:, k]).argmax())
+            if abs(m[p, k]) <= small:
+                raise FactorError("singular")
+            if p != k:
+                m[[k, p]], order[[k, p]] = m[[p, k]], order[[p, k]]
+            m[k + 1 :, k] /= m[k, k]
+            m[k + 1 :, k + 1 : end] -= np.outer(m[k + 1 :, k], m[k, k + 1 : end])
+        for k in range(start, end):  # the block's rows of U
+            m[k + 1 : end, end:] -= np.outer(m[k + 1 : end, k], m[k, end:])
+        m[end:, end:] -= m[end:, start:end] @ m[start:end, end:]
+    return m, order
+
+
+def lu_apply(factors: tuple[np.ndarray, np.ndarray], b: np.ndarray) -> np.ndarray:
+    m, order = factors
+    x = np.asarray(b, float)[order]
+    for k in range(1, len(x)):
+        x[k] -= m[k, :k] @ x[:k]
+    for k in range(len(x) - 1, -1, -1):
+        x[k] = (x[k] - m[k, k + 1 :] @ x[k + 1 :]) / m[k, k]
+    return x
+
+
 def qr_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least squares by QR."""
     q, r = np.linalg.qr(a)

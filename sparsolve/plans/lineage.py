@@ -12,9 +12,11 @@ from ..types import Matrix
 
 
 def ensure_folder(spark: SparkSession) -> None:
-    """spark.checkpoint.dir as the cluster names it; a temporary folder only where none is set (tests, one machine)."""
+    """spark.checkpoint.dir as the cluster names it; a temporary folder only where none is set on one machine (tests)."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if named is None:
             named = tempfile.mkdtemp(prefix="sparsolve-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)

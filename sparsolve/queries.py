@@ -19,9 +19,9 @@ from .precond import amg
 from .precond.simple import AdditiveSchwarz, ApproximateInverse, BlockJacobi, Chebyshev, Sor, Sweeps, ilu0_reference, ilut_reference
 from .solvers import krylov
 from .solvers.direct import DirectLU, DirectQR, solve_batch
-from .solvers.options import NormType
+from .solvers.options import NormType, Orthogonalization
 from .sources import ingest, systems
-from .types import Convergence, Matrix, SolveResult, Vector
+from .types import Convergence, Matrix, SolveResult, SparsolveError, Vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -262,7 +262,7 @@ def fgmres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CUSTOMERS)
 def pca_gmres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solved(systems.chain(spark, sf_dir), "pca_gmres", tier=Tier.BROADCAST, block=4)
+    return solved(systems.chain(spark, sf_dir), "pca_gmres", tier=Tier.BROADCAST, block=8)
 
 
 @query(CUSTOMERS)
@@ -342,6 +342,14 @@ def lu_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second)
 
 
+@query("select i::bigint i, i % 7 + 1 x, true ok from range(200) t(i)")
+def lu_dense_200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense, n = 200: sin(200 j + i), which alone has rank 2, with 200 added on the diagonal."""
+    cells = spark.range(200 * 200).selectExpr("id % 200 i", "id div 200 j", "sin(cast(id div 200 * 200 + id % 200 as double)) + if(id % 200 = id div 200, 200, 0) v")
+    a = Matrix(cells, 200, 200)
+    return checked(DirectLU().solve(a, systems.right_side(a)).x)
+
+
 @query(SUPPLIERS)
 def qr_lsq(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = systems.parts_by_suppliers(spark, sf_dir)
@@ -583,10 +591,53 @@ def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, stop, s.converged) for k, (stop, s) in rows], "iteration int, stop boolean, converged boolean")
 
 
-@query()
+@query("select * from (values ('cg', true, true, true), ('gmres', true, true, true), ('minres', true, true, true)) t(kind, from_start, reaches_goal, stats_agree)")
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a history holds: from iteration 0, one row an iteration, down to the goal, as the statistics say."""
+    a, out = systems.trade(spark, sf_dir), []
+    b = systems.right_side(a)
+    for kind in ("cg", "gmres", "minres"):
+        got = SolverSession(kind, tier="local", tol=1e-8).solve(a, b)
+        rows = got.history_df(spark).orderBy("iter").collect()
+        out.append((kind, [r["iter"] for r in rows] == list(range(got.stats.iterations + 1)), rows[-1]["residual"] <= 1e-8 * rows[0]["residual"], rows[-1]["iter"] == got.stats.iterations))
+    return spark.createDataFrame(out, "kind string, from_start boolean, reaches_goal boolean, stats_agree boolean")
+
+
+@query("select * from (values ('FactorError'), ('IndefiniteMatrix'), ('NotFactored'), ('ShapeError'), ('Unsupported'), ('ZeroPivot')) t(error)")
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error where it is due: on the trade network, its negative, and a matrix without a diagonal."""
     a = systems.trade(spark, sf_dir)
-    return SolverSession("cg", tier="local").solve(a, systems.right_side(a)).history_df(spark)
+    b, none = systems.right_side(a), Matrix(a.df.where("i <> j"), a.nrows, a.ncols)
+    negative = Matrix(a.df.selectExpr("i", "j", "-v v"), a.nrows, a.ncols)
+    tries = (
+        lambda: DirectLU().solve(Matrix(a.df.where("i < 5"), a.nrows, a.ncols), b), lambda: SolverSession("cg", tier="local").solve(negative, b), lambda: DirectLU().solve_cached(b),
+        lambda: SolverSession("cg").solve(a, Vector(b.df, b.n + 1)), lambda: SolverSession("cg", PC.make("jacobi"), tier="local").solve(a, b), lambda: SolverSession("gmres_right", PC.make("sor"), tier="local").solve(none, b),
+    )
+    out = []
+    for f in tries:
+        try:
+            f()
+        except SparsolveError as e:
+            out.append((type(e).__name__,))
+    return spark.createDataFrame(out, "error string")
+
+
+@query(CUSTOMERS)
+def fgmres_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another preconditioner at every other step, and modified Gram-Schmidt."""
+    a = systems.chain(spark, sf_dir, "nonsymmetric")
+    smooth = PC.make("chebyshev", steps=2, low=0.5, high=3.5).setup(a)
+    plain = PC.make("jacobi").setup(a)
+    change = {"modify": lambda k, pc: smooth if k % 2 else plain, "orthogonalization": Orthogonalization.MODIFIED}
+    return checked(SolverSession("fgmres", plain, tier="broadcast", options=change).solve(a, systems.right_side(a)).x)
+
+
+@query(NATIONS)
+def options_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preconditioner from string options, with a monitor that sees every iteration."""
+    a, seen = systems.trade(spark, sf_dir), []
+    got = SolverSession("pcg", PC.from_options({"pc_type": "sor", "omega": "1.1"}), tol=1e-12, tier="local", monitor=lambda k, r: seen.append(k)).solve(a, systems.right_side(a))
+    return checked(got.x).withColumn("ok", F.col("ok") & F.lit(seen == list(range(got.stats.iterations + 1))))
 
 
 def trade_solution(spark: SparkSession, sf_dir: str) -> SolveResult:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dense import lu_solve, qr_solve
+from ..functions.dense import lu_apply, lu_factor, lu_solve, qr_solve
 from ..types import FactorError, Matrix, NotFactored, SolveResult, SolveStats, Vector
 
 #: Longest side of a dense system that one task solves.
@@ -46,10 +46,10 @@ def _one(a: Matrix, b: Vector, least_squares: bool) -> SolveResult:
 
 
 class DirectLU:
-    """Dense LU of a square matrix; factors are cached, so that further right sides cost a product only."""
+    """Dense LU of a square matrix; its factors are kept, so that further right sides cost two triangular solves only."""
 
     def __init__(self) -> None:
-        self.inverse: np.ndarray | None = None
+        self.factors: tuple[np.ndarray, np.ndarray] | None = None
 
     def solve(self, a: Matrix, b: Vector) -> SolveResult:
         self.factor(a)
@@ -59,15 +59,15 @@ class DirectLU:
         if max(a.nrows, a.ncols) > DENSE_MOST or a.nrows != a.ncols:
             raise FactorError(f"square matrices of {DENSE_MOST} rows at most")
         t = a.df.toPandas()  # DENSE_MOST ** 2 values at most
-        self.inverse = lu_solve(_dense(t, a.nrows, a.ncols), np.eye(a.nrows))
+        self.factors = lu_factor(_dense(t, a.nrows, a.ncols))
 
     def solve_cached(self, b: Vector, a: Matrix | None = None) -> SolveResult:
-        if self.inverse is None:
+        if self.factors is None:
             raise NotFactored("solve() or factor() comes first")
         rhs = np.zeros(b.n)
         t = b.df.toPandas()
         rhs[t["i"]] = t["v"]
-        x = self.inverse @ rhs
+        x = lu_apply(self.factors, rhs)
         r = 0.0
         if a is not None:
             r = float(np.linalg.norm(rhs - _dense(a.df.toPandas(), a.nrows, a.ncols) @ x))

@@ -199,7 +199,8 @@ def s_step_gmres(s, rule: Convergence, block: int = 3, restart: int = 30, pc: Pr
 
     A block's basis is r, Ar, A^2 r ... scaled to unit length; Cholesky makes it orthonormal, and where that fails a shorter one is
     taken.  Each block starts from the true residual.  pipeline_depth has no effect; directions under tau (relative) are dropped."""
-    block = max(1, min(block, 5, restart))
+    if not 1 <= block <= restart:
+        raise Unsupported(f"blocks of 1 to {restart} products (the restart length), not {block}")
     pc = pc or Identity()
     _residual(s)
     first = now = _norm(s, "r")

@@ -102,6 +102,9 @@ class SolveResult:
     stats: SolveStats
     history: list[tuple[int, float]] = field(default_factory=list)
 
+    def clear_history(self) -> None:
+        self.history.clear()
+
     def history_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.history, "iter int, residual double")
 
