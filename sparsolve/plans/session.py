@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from ..precond.amg import Amg
 from ..precond.base import Preconditioner
-from ..precond.simple import AdditiveSchwarz, ApproximateInverse, BlockJacobi, Chebyshev, Ilu0, Ilup, Ilut, Jacobi, MultiColor, Sor
+from ..precond.simple import AdditiveSchwarz, ApproximateInverse, BlockJacobi, Blockwise, Chebyshev, Ilu0, Ilup, Ilut, Jacobi, MultiColor, Sor
 from ..solvers import krylov
 from ..solvers.direct import DirectLU, DirectQR
 from ..solvers.options import Side
@@ -61,7 +61,7 @@ def choose_tier(n: int, cells: int) -> Tier:
 class PC:
     """Preconditioners by name: PC.make("ilut", fill=5, drop=1e-3), or from string options."""
 
-    KINDS = {"jacobi": Jacobi, "block_jacobi": BlockJacobi, "sor": Sor, "ilu0": Ilu0, "ilup": Ilup, "ilut": Ilut, "chebyshev": Chebyshev, "asm": AdditiveSchwarz, "spai": ApproximateInverse, "amg": Amg, "multicolor": MultiColor}
+    KINDS = {"jacobi": Jacobi, "block_jacobi": BlockJacobi, "blockwise": Blockwise, "sor": Sor, "ilu0": Ilu0, "ilup": Ilup, "ilut": Ilut, "chebyshev": Chebyshev, "asm": AdditiveSchwarz, "spai": ApproximateInverse, "amg": Amg, "multicolor": MultiColor}
 
     @classmethod
     def make(cls, kind: str, **options) -> Preconditioner:

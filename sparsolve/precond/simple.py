@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from enum import Flag
 
 import numpy as np
@@ -94,6 +95,34 @@ class AdditiveSchwarz(MatrixPreconditioner):
         return self
 
 
+class Blockwise(MatrixPreconditioner):
+    """Incomplete factors or sweeps of each block of `size` neighbouring rows by themselves: `inner` (ilu0, ilup, ilut, sor) for every space.
+
+    Blocks are made independently of each other and kept as explicit inverses, `size` entries a row at most; what couples blocks is left out."""
+
+    name = "blockwise"
+
+    def __init__(self, inner: ArrayPreconditioner, size: int = 32):
+        if not isinstance(inner, ArrayPreconditioner):
+            raise Unsupported(f"{inner.name} needs no blocks")
+        self.inner, self.size = inner, int(size)
+
+    def setup(self, a: Matrix) -> Blockwise:
+        inner, size, rows = copy.copy(self.inner), self.size, a.nrows
+
+        def one(i: np.ndarray, j: np.ndarray, v: np.ndarray, block: int) -> tuple:
+            start = int(block) * size
+            n = min(size, rows - start)
+            inner.prepare(i - start, j - start, v, n)
+            m = np.stack([inner.solve(e) for e in np.eye(n)], 1)
+            i, j = np.nonzero(m)
+            return i + start, j + start, m[i, j]
+
+        cells = a.df.where(f"i div {size} = j div {size}").selectExpr(f"i div {size} block", "i", "j", "v")
+        self.inverse = Matrix(_in_chunks(cells, "block", one, "i long, j long, v double"), a.nrows, a.ncols)
+        return self
+
+
 class ApproximateInverse(MatrixPreconditioner):
     """SPAI: for each column the least squares min |A m - e_j| over a pattern; columns are independent of each other.
 

@@ -455,6 +455,8 @@ for _name, _f in {
     "pcg_block_jacobi": _with_pc("pcg", "block_jacobi", size=8), "pcg_sor": _with_pc("pcg", "sor", omega=1.2), "gmres_ilu0": _with_pc("gmres_right", "ilu0", "nonsymmetric"),
     "gmres_ilup": _with_pc("gmres_left", "ilup", "nonsymmetric", fill=1), "gmres_ilut": _with_pc("gmres_right", "ilut", "nonsymmetric", fill=4, drop=1e-4), "pcg_chebyshev": _with_pc("pcg", "chebyshev", steps=3, low=2.0, high=6.0),
     "pcg_asm": _with_pc("pcg", "asm", size=16, overlap=1), "gmres_spai": _with_pc("gmres_right", "spai", "nonsymmetric"), "pcg_multicolor": _with_pc("pcg", "multicolor"),
+    "pcg_sor_frame": _with_pc("pcg", "blockwise", tier="frame", inner=PC.make("sor", omega=1.2)), "gmres_ilu0_frame": _with_pc("gmres_right", "blockwise", "nonsymmetric", "frame", inner=PC.make("ilu0")),
+    "gmres_ilup_frame": _with_pc("gmres_right", "blockwise", "nonsymmetric", "frame", inner=PC.make("ilup", fill=1)), "gmres_ilut_frame": _with_pc("gmres_right", "blockwise", "nonsymmetric", "frame", inner=PC.make("ilut", fill=4, drop=1e-4)),
 }.items():
     QUERIES[_name], ORACLES[_name] = _f, CUSTOMERS
 

@@ -194,52 +194,87 @@ def _arnoldi(s, rule, restart, monitor, left, right, flexible, orthogonalization
         s.drop("w", "t", *(f"v{i}" for i in range(restart + 1)), *(f"z{i}" for i in range(restart + 1)))
 
 
+def _block_orthonormal(s, own: list[str], names: list[str], floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Makes the block orthonormal, also to the `own` vectors, in place: block = own C + new R.  Two passes of one aggregate each.
+
+    The Gram matrix gives the projection and a Cholesky factor at once.  Columns from the first on that (scaled) adds less than `floor` are left out: R has fewer."""
+    c = r = None
+    for _ in range(2):
+        k = len(names)
+        got = iter(s.dots(*((a, b) for a in own for b in names), *((names[i], names[j]) for i in range(k) for j in range(i, k))))
+        h, g = np.array([[next(got) for _ in names] for _ in own]), np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                g[i, j] = g[j, i] = next(got)
+        if not (np.isfinite(h).all() and np.isfinite(g).all()):
+            raise SolveError("the Krylov space broke down")
+        d = np.sqrt(np.diag(g))
+        d[d == 0] = 1.0
+        left = (g - h.T @ h) / np.outer(d, d)
+        kept = next((n for n in range(k, 0, -1) if np.linalg.eigvalsh(left[:n, :n])[0] > floor), 0)
+        if not kept:
+            return h if c is None else c, np.zeros((0, 0))
+        u = np.linalg.cholesky(left[:kept, :kept]).T * d[:kept]
+        back = np.linalg.inv(u)
+        away, names = h[:, :kept] @ back, names[:kept]
+        s.let(**{x: [*((back[i, j], names[i]) for i in range(j + 1)), *((-away[i, j], v) for i, v in enumerate(own))] for j, x in enumerate(names)})
+        c, r = (h[:, :kept], u) if c is None else (c[:, :kept] + h[:, :kept] @ r[:kept, :kept], u @ r[:kept, :kept])
+    return c, r
+
+
 def s_step_gmres(s, rule: Convergence, block: int = 3, restart: int = 30, pc: Preconditioner | None = None, monitor: Monitor = _quiet, pipeline_depth: int = 1, tau: float | None = None) -> SolveStats:
-    """GMRES on blocks of `block` products and one Gram aggregate each (communication-avoiding); right preconditioning.
+    """GMRES on blocks of `block` products and two Gram aggregates each (communication-avoiding); right preconditioning.
 
-    A block's basis is r, Ar, A^2 r ... scaled to unit length; Cholesky makes it orthonormal, and where that fails a shorter one is
-    taken.  Each block starts from the true residual.  pipeline_depth has no effect; directions under tau (relative) are dropped."""
+    A block is v, Av, A^2 v ... of the last basis vector v, made orthonormal to all earlier blocks of the cycle and in itself; a cycle has up to `restart`
+    vectors.  pipeline_depth has no effect; of a block, what adds less than tau (relative) is dropped."""
     if not 1 <= block <= restart:
         raise Unsupported(f"blocks of 1 to {restart} products (the restart length), not {block}")
-    pc = pc or Identity()
-    _residual(s)
-    first = now = _norm(s, "r")
-    monitor(0, now)
-    done = 0
-    while now and not rule.met(now, first):
+    pc, floor = pc or Identity(), max(tau or 0.0, 1e-12)
+    done, first, before = 0, None, np.inf
+    while True:
+        _residual(s)
+        now = _norm(s, "r")
+        if first is None:
+            first = now
+            monitor(0, now)
+        if now == 0 or rule.met(now, first):
+            return SolveStats(done, now, True)
         if done >= rule.max_iters:
             return SolveStats(done, now, rule.mode == "reference")
-        s.let(k0=[(1 / now, "r")])
-        names = ["k0"]
-        for j in range(block):
-            pc.apply(s, f"k{j}", f"m{j}")
-            s.apply("A", f"m{j}", f"k{j + 1}")
-            names.append(f"k{j + 1}")
-        pairs = [(a, b) for n, a in enumerate(names) for b in names[n:]]
-        g, values = np.zeros((block + 1, block + 1)), iter(s.dots(*pairs))
-        for n in range(block + 1):
-            for m in range(n, block + 1):
-                g[n, m] = g[m, n] = next(values)
-        for m in range(block, 0, -1):  # least squares: min |r - K[:, 1:m+1] y|, columns scaled
-            d = np.sqrt(np.diag(g)[1 : m + 1])
-            if not d.all():
-                continue
-            w, q = np.linalg.eigh(g[1 : m + 1, 1 : m + 1] / np.outer(d, d))
-            if w[0] > max(tau or 0.0, 1e-12):
-                y = q @ ((q.T @ (g[1 : m + 1, 0] * now / d)) / w) / d
-                break
-        else:
-            raise SolveError("the Krylov space broke down")
-        s.let(x=[(1, "x"), *((c, f"m{j}") for j, c in enumerate(y))])
-        s.drop(*names, *(f"m{j}" for j in range(block)))
-        done += m
+        if now >= before:
+            return gmres(s, Convergence(rule.tol * (1.0 if rule.absolute else first), rule.max_iters - done, True, rule.mode), restart, Side.RIGHT, pc, lambda k, r: monitor(done + k, r) if k else None)  # blocks are too short: one step after another
         before = now
-        _residual(s)
-        now = _norm(s, "r")
-        monitor(done, now)
-        if now >= before and not rule.met(now, first):
-            return gmres(s, Convergence(rule.tol * first, max(1, rule.max_iters - done), True), restart, Side.RIGHT, pc, lambda k, r: monitor(done + k, r) if k else None)  # the block is too short: one step after another
-    return SolveStats(done, now, True)
+        s.let(v0=[(1 / now, "r")])
+        # of the basis V and the block vectors Z = V T: A M^-1 Z = V G
+        g, t, m = np.zeros((restart + 1, restart)), np.zeros((restart + 1, restart)), 0
+        while True:
+            names = [f"k{j}" for j in range(min(block, restart - m, rule.max_iters - done))]
+            for src, x in zip([f"v{m}", *names], names, strict=False):
+                pc.apply(s, src, "_m")
+                s.apply("A", "_m", x)
+            c, r = _block_orthonormal(s, [f"v{i}" for i in range(m + 1)], names, floor)
+            kept = len(r)
+            s.let(**{f"v{m + 1 + j}": [(1, names[j])] for j in range(kept)})
+            s.drop(*names, "_m")
+            added = max(kept, 1)  # nothing new: the space holds the solution
+            g[: m + 1, m : m + added] = c[:, :added]
+            g[m + 1 : m + 1 + kept, m : m + kept] = r
+            t[m, m] = 1.0
+            t[:, m + 1 : m + added] = g[:, m : m + added - 1]
+            m, done = m + added, done + added
+            goal = np.zeros(m + 1)
+            goal[0] = now
+            size = np.linalg.norm(g[: m + 1, :m], axis=0)  # powers of A differ in size
+            size[size == 0] = 1.0
+            y = np.linalg.lstsq(g[: m + 1, :m] / size, goal, rcond=None)[0] / size
+            estimate = float(np.linalg.norm(goal - g[: m + 1, :m] @ y))
+            monitor(done, estimate)
+            if not kept or m >= restart or done >= rule.max_iters or rule.met(estimate, first):
+                break
+        s.let(_m=[(z, f"v{i}") for i, z in enumerate(t[:m, :m] @ y)])
+        pc.apply(s, "_m", "_m")
+        s.let(x=[(1, "x"), (1, "_m")])
+        s.drop("_m", *(f"v{i}" for i in range(restart + 1)))
 
 
 def bicgstab(s, rule: Convergence, pc: Preconditioner | None = None, monitor: Monitor = _quiet) -> SolveStats:

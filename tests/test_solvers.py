@@ -210,3 +210,51 @@ def test_broadcast_bound(spark):
     with pytest.raises(ShapeError):
         BroadcastSpace(spark, 10**8)
     assert isinstance(Identity(), Identity) and FrameSpace(spark, 3).n == 3
+
+
+@pytest.mark.parametrize("kind, options", [("ilu0", {}), ("ilup", {"fill": 1}), ("ilut", {"fill": 20, "drop": 0.0}), ("sor", {"omega": 1.2})])
+def test_blockwise_equals_the_inner_one_on_each_block(spark, kind, options):
+    rng = np.random.default_rng(3)
+    full = rng.normal(size=(11, 11)) * (rng.random((11, 11)) < 0.5) + 8 * np.eye(11)
+    a = Matrix.of(spark.createDataFrame([(int(i), int(j), float(full[i, j])) for i, j in zip(*np.nonzero(full), strict=True)], "i long, j long, v double"), 11)
+    got, want = np.zeros((11, 11)), np.zeros((11, 11))
+    for r in PC.make("blockwise", inner=PC.make(kind, **options), size=4).setup(a).inverse.df.collect():
+        got[r["i"], r["j"]] = r["v"]
+    for start in (0, 4, 8):
+        part = full[start : start + 4, start : start + 4]
+        inner, (i, j) = PC.make(kind, **options), np.nonzero(part)
+        inner.prepare(i, j, part[i, j], len(part))
+        for k in range(len(part)):
+            want[start : start + 4, start + k] = inner.solve(np.eye(len(part))[k])
+    assert np.allclose(got, want)
+
+
+def test_blockwise_in_a_frame(spark):
+    n = 40
+    a = Matrix.of(spark.createDataFrame([(i, j, 4.0 if i == j else -1.0) for i in range(n) for j in range(max(0, i - 1), min(n, i + 2))], "i long, j long, v double"), n)
+    x = np.arange(n) % 7 + 1.0
+    b = Vector.local(spark, 4 * x - np.r_[0, x[:-1]] - np.r_[x[1:], 0])
+    for kind, pc in (("pcg", PC.make("sor")), ("gmres_right", PC.make("ilu0"))):
+        got = SolverSession(kind, PC.make("blockwise", inner=pc, size=8), tier="frame").solve(a, b)
+        assert got.stats.converged and np.allclose([r["v"] for r in got.x.dense().orderBy("i").collect()], x)
+    with pytest.raises(Unsupported):
+        PC.make("blockwise", inner=PC.make("jacobi"))
+
+
+@pytest.mark.parametrize("block", [1, 4, 8, 30])
+def test_s_step_gmres_spans_what_gmres_spans(block):
+    """A spectrum that cycles as short as a block don't solve: as many products as GMRES takes, up to the rest of a block."""
+    rng = np.random.default_rng(5)
+    n = 120
+    q = np.linalg.qr(rng.normal(size=(n, n)))[0]
+    full = q @ np.diag(np.linspace(1, 60, n)) @ q.T + 0.1 * rng.normal(size=(n, n))
+    i, j = np.nonzero(full)
+    steps = {}
+    for name, run in (("plain", lambda s: krylov.gmres(s, Convergence(1e-8, 400), 60)), ("blocks", lambda s: krylov.s_step_gmres(s, Convergence(1e-8, 400), block, 60))):
+        s = LocalSpace(n)
+        s.add_cells("A", i, j, full[i, j])
+        s.load(b=np.ones(n), x=np.zeros(n))
+        got = run(s)
+        assert got.converged and np.linalg.norm(full @ s.v["x"] - 1) <= 1.0001e-8 * np.sqrt(n)
+        steps[name] = got.iterations
+    assert steps["blocks"] <= steps["plain"] + max(block, 8)
