@@ -195,3 +195,7 @@ def _chain_in_time(pc):
 
 def test_ilu0_of_a_long_chain():
     _chain_in_time(Ilu0())
+
+
+def test_ilup_of_a_long_chain():
+    _chain_in_time(Ilup(fill=1))
