@@ -199,3 +199,7 @@ def test_ilu0_of_a_long_chain():
 
 def test_ilup_of_a_long_chain():
     _chain_in_time(Ilup(fill=1))
+
+
+def test_ilut_of_a_long_chain():
+    _chain_in_time(Ilut(fill=4, drop=1e-4))
