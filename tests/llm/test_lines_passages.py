@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsolve.llm import common, linking, lines, passages
+from sparsolve.llm.common import signed, word_hashes
 
 
 def distance(a, b):
@@ -366,3 +367,25 @@ def test_pipeline_edge_cases(spark, tmp_path):
     for name, f in p.STAGES:
         out = f(spark, df.limit(0), str(tmp_path))
         assert out.collect() == [] and (name == "best-fit packing" or out.columns == list(p.COLUMNS))
+
+
+def _as_text(words):
+    h = word_hashes([w.encode() for w in words])
+    at, own = passages.seeds(h)
+    return signed(own), at, signed(h).astype(np.int32)
+
+
+@pytest.mark.parametrize("changed", [False, True])
+def test_frequent_seeds_match_at_all_places(changed):
+    """A passage whose parts both texts also have often elsewhere, in other orders: no place of a seed is left out."""
+    rng = np.random.default_rng(5)
+    whole = [f"w{j}" for j in range(60)]
+    parts = [whole[k : k + 20] for k in range(0, 41, 8)]
+    fresh = iter(range(10**6))
+    noise = lambda n: [f"n{next(fresh)}" for _ in range(n)]
+    filler = lambda n: [w for _ in range(n) for k in rng.permutation(len(parts)) for w in [*parts[k], *noise(30)]]
+    other = [w if k % 14 != 6 else f"changed{k}" for k, w in enumerate(whole)] if changed else whole
+    u = _as_text([*filler(2), *whole, *noise(30), *filler(9)])
+    v = _as_text([*filler(7), *other, *noise(30), *filler(5)])
+    assert passages.shared_passages([(u, v)], whether=True)[0]
+    assert not passages.shared_passages([(_as_text(filler(9)), _as_text(filler(12)))], whether=True)[0]
