@@ -383,9 +383,9 @@ def test_frequent_seeds_match_at_all_places(changed):
     parts = [whole[k : k + 20] for k in range(0, 41, 8)]
     fresh = iter(range(10**6))
     noise = lambda n: [f"n{next(fresh)}" for _ in range(n)]
-    filler = lambda n: [w for _ in range(n) for k in rng.permutation(len(parts)) for w in [*parts[k], *noise(30)]]
+    filler = lambda n: [w for _ in range(n) for k in rng.permutation(len(parts)) for w in [*parts[k], *noise(250)]]
     other = [w if k % 14 != 6 else f"changed{k}" for k, w in enumerate(whole)] if changed else whole
-    u = _as_text([*filler(2), *whole, *noise(30), *filler(9)])
-    v = _as_text([*filler(7), *other, *noise(30), *filler(5)])
+    u = _as_text([*filler(2), *whole, *noise(250), *filler(9)])
+    v = _as_text([*filler(7), *other, *noise(250), *filler(5)])
     assert passages.shared_passages([(u, v)], whether=True)[0]
     assert not passages.shared_passages([(_as_text(filler(9)), _as_text(filler(12)))], whether=True)[0]
