@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,7 +79,22 @@ class Model:
         return self.langs[int(p.argmax())], float(p.max() / p.sum())
 
 
-def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1) -> np.ndarray:
+class _Counted(Sequence):
+    """Documents as (n-grams, weights, language), made from their counts when they are read: a sixth of the memory."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, int]], idf: np.ndarray):
+        self.rows, self.idf = rows, idf
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        at, n, y = self.rows[k]
+        at = np.frombuffer(at, np.uint16).astype(np.int64)
+        return at, weighted(at, np.frombuffer(n, np.uint16).astype(float), self.idf), y
+
+
+def follow_the_leader(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], n_langs: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1) -> np.ndarray:
     """FTRL-proximal: per-coordinate rates, weights in closed form from the summed gradients; the constant isn't penalised by l1."""
     z, s = np.zeros(((1 << BITS) + 1, n_langs)), np.zeros(((1 << BITS) + 1, n_langs))
     limit = np.full((1 << BITS) + 1, l1)
@@ -164,11 +179,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return Model([], np.zeros(((1 << BITS) + 1, 0)), idf)
-    data = [(a := np.frombuffer(r["at"], np.uint16).astype(np.int64), weighted(a, np.frombuffer(r["n"], np.uint16).astype(float), idf), langs.index(r["lang"])) for r in rows]
+    data = _Counted([(r["at"], r["n"], langs.index(r["lang"])) for r in rows], idf)
     aside = [zlib.crc32(str(r["doc_id"]).encode()) // 4 % 5 == 0 for r in rows]
-    w = follow_the_leader([x for x, a in zip(data, aside, strict=True) if not a] or data, len(langs))
-    kept = [x for x, a in zip(data, aside, strict=True) if a]
-    logits = np.array([x @ w[at] + w[-1] for at, x, _ in kept]).reshape(-1, len(langs))
+    del rows
+    own = [x for x, a in zip(data.rows, aside, strict=True) if not a] or data.rows
+    w = follow_the_leader(_Counted(own, idf), len(langs))
+    kept = [x for x, a in zip(data.rows, aside, strict=True) if a]
+    logits = np.array([x @ w[at] + w[-1] for at, x, _ in _Counted(kept, idf)]).reshape(-1, len(langs))
     return Model(langs, w, idf, temperature(logits, np.array([y for *_, y in kept], int)))
 
 
