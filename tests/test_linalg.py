@@ -202,6 +202,31 @@ def test_ilup_of_a_long_chain():
     _chain_in_time(Ilup(fill=1))
 
 
+@pytest.mark.parametrize("fill", [0, 1, 2, 3])
+@pytest.mark.parametrize("pairs", [5, 1 << 20])
+def test_ilup_is_that_of_full_rows(fill, pairs, monkeypatch):
+    """Rows gone through in full, entries of too high a level dropped at a row's end; whatever is held at once."""
+    monkeypatch.setattr(dense, "PAIRS", pairs)
+    rng = np.random.default_rng(7)
+    for n in (1, 7, 12, 20, 20, 20):
+        a = rng.normal(size=(n, n)) * (rng.random((n, n)) < 0.2)
+        np.fill_diagonal(a, 4.0)
+        got = dense.ilup([{j: a[i, j] for j in range(n) if a[i, j]} for i in range(n)], fill)
+        w, level = a.copy(), np.where(a != 0, 0, 99)
+        for i in range(n):
+            for k in (k for k in range(i) if level[i, k] <= fill):
+                w[i, k] /= w[k, k]
+                for j in (j for j in range(k + 1, n) if level[k, j] <= fill):
+                    w[i, j] -= w[i, k] * w[k, j]
+                    level[i, j] = min(level[i, j], level[i, k] + level[k, j] + 1)
+            w[i, level[i] > fill] = 0
+        full = np.diag(got.pivot)
+        for i in range(n):
+            for j, x in (got.lower[i] | got.upper[i]).items():
+                full[i, j] = x
+        assert np.allclose(full, w, rtol=1e-12, atol=1e-14)
+
+
 def test_ilut_of_a_long_chain():
     _chain_in_time(Ilut(fill=4, drop=1e-4))
 
