@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsolve.llm import decontaminate, jaccard, langid, lines, packing
-from sparsolve.llm.common import Scratch, read_table, spare
+from sparsolve.llm.common import Scratch, read_table, small_batches, spare
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text goes if its likeliest language is less likely than so many times an even share.
@@ -29,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A missing lang becomes the predicted one.  If there is nothing to learn from, only null and letterless texts go.  Rows with a null doc_id and
     repeated rows are looked at like others; very long texts whole; an empty table stays empty."""
+    small_batches(spark)
     model = langid.fit(docs.where(~langid.held_out()))
     told = langid.predict(docs, model, COLUMNS)
     letters = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,3 +390,21 @@ def test_frequent_seeds_match_at_all_places(changed):
     v = _as_text([*filler(7), *other, *noise(250), *filler(5)])
     assert passages.shared_passages([(u, v)], whether=True)[0]
     assert not passages.shared_passages([(_as_text(filler(9)), _as_text(filler(12)))], whether=True)[0]
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark, tmp_path):
+    """Long texts don't travel to Python by 10,000 rows, which several times over took an executor's memory."""
+    from sparsolve.llm.common import BATCH_BYTES, Scratch
+
+    Scratch(spark, "bound")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    got = spark.range(8000).coalesce(1).selectExpr("repeat(cast(id as string), 800) t").mapInArrow(sizes, "n long").collect()
+    assert len(got) > 1 and max(r["n"] for r in got) < 2 * BATCH_BYTES
+
+
+def test_tally_rows_come_in_parts():
+    tally = lines.Tally()
+    tally.note(np.arange(100_000))
+    parts = list(tally.rows())
+    assert max(len(c) for c, _ in parts) <= 32 and sum(len(c) for c, _ in parts) == len(tally.words)
+    assert all((np.frombuffer(raw, np.uint64) == tally.words[k].ravel()).all() for c, raws in parts for k, raw in zip(c, raws, strict=True))
