@@ -408,3 +408,32 @@ def test_tally_rows_come_in_parts():
     parts = list(tally.rows())
     assert max(len(c) for c, _ in parts) <= 32 and sum(len(c) for c, _ in parts) == len(tally.words)
     assert all((np.frombuffer(raw, np.uint64) == tally.words[k].ravel()).all() for c, raws in parts for k, raw in zip(c, raws, strict=True))
+
+
+def test_seed_keys_are_of_the_words():
+    """Seeds of equal words are equal, others aren't; files and shuffles hold places and words only."""
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 3, n).astype(np.int32) - 1 for n in (60, 0, 40, 5)]
+    at = [np.arange(max(0, len(w) - passages.SEED + 1)) for w in words]
+    keys = passages.seed_keys(words, at)
+    assert [len(k) for k in keys] == [len(a) for a in at]
+    held = {}
+    for w, a, k in zip(words, at, keys, strict=True):
+        for x, key in zip(a.tolist(), k.tolist(), strict=True):
+            held.setdefault(key, set()).add(tuple(w[x : x + passages.SEED].tolist()))
+    assert all(len(s) == 1 for s in held.values()) and len({s for x in held.values() for s in x}) == len(held)
+    assert passages.seed_keys([], []) == []
+
+
+def test_later_turns_look_at_mixed_lists_only(spark):
+    """A list of one component isn't read again: after the first turn, what was mixed is gone through."""
+    from sparsolve.llm.common import Scratch
+    from sparsolve.llm.linking import Linker, salted
+
+    rows = spark.createDataFrame([(k, i, 0) for k, ids in ((1, range(5)), (2, range(5, 10))) for i in ids], "key long, id long, n long")
+    linker = Linker(Scratch(spark, "turns"), lambda a, b: F.lit(True), lambda p: p, lambda ids: ids.withColumn("sig", F.lit(b"\0\0")), lambda u, un, v, vn: np.ones(len(v), bool), short=2)
+    lists = linker.lists(salted(rows))
+    roots = spark.createDataFrame([(i, 0) for i in range(5)] + [(i, i % 2 + 5) for i in range(5, 10)], "id long, root long")
+    assert linker.later_pairs(lists, roots, 1) is not None
+    assert {r["key"] for r in linker.open.collect()} == {2}
+    assert {(r["u"], r["v"]) for r in linker.later_pairs(lists, roots, 2).collect()} == {(a, b) for a in range(5, 10) for b in range(a + 1, 10) if (a - b) % 2}
